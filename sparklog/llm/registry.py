@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparklog.llm import line_dedup, quality, sharding
+from sparklog.llm import line_dedup, ngram_join, quality, sharding
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_weighted_hash_tree": sharding.op3_weighted_hash_tree,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op9_ngram_jaccard": ngram_join.OP9_SQL,
 }
