@@ -10,14 +10,18 @@ at most (1 - t) (|x| + |y|) / (1 + t) n-grams.
    to a signature; the number of blocks follows from a size band, and a set works in the bands
    in which it may be the smaller or the larger of a pair. Sets that agree in no signature
    cannot link. Equal sets are one class throughout.
-2. *Products.* Within the members of a signature only products with pivot rows are formed, not
-   all pairs: first with each set's most central candidate, then, in signatures whose members
-   do not yet hang together, with further pivots from outside the largest part, one, four,
-   sixteen ... at a time, until every pair of different parts has been tried. Overlaps are
-   counted from the sets themselves, and pairs below the bound are discarded.
+2. *Products.* First every set meets the most central set that it shares a signature with, which
+   joins most groups of near copies in as many products as they have members. Where the members
+   of a signature then still lie in several parts, the clusters that such signatures hold
+   together are cut into chunks of bounded size, and each pair of chunks is one block product:
+   overlap counts are accumulated column by column in memory, dense for frequent n-grams and
+   pair by pair for rare ones, and counts below the bound are discarded. A block returns the
+   links as a forest, a row for each set at most, never its pairs, and chunks of one part are
+   not multiplied with each other.
 3. *Components* of the links, with the least document id of each.
 
-No pair is lost: a pair is left out only if it shares no signature, or is already connected.
+No link is lost: sets that share no signature can't link, and those that share one are either
+connected already or meet in a block.
 
 Defined cases: null or wordless text has an empty set and links with nothing; fewer words than
 n make one n-gram; null ids get no component and are no one's least id (their rows still link);
@@ -30,7 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +44,10 @@ from sparklog.llm.wordhash import mix, slices, word_hashes
 
 #: The larger size of a band over the smaller.
 BAND = 1.4
+#: Sets and n-grams in a chunk, on average at most; two chunks make a block.
+CHUNK_SETS, CHUNK_GRAMS = 1000, 500_000
+#: n-grams in more sets of a block than this are multiplied as dense columns, so many at once.
+RARE, DENSE_COLUMNS = 32, 1024
 
 
 def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -190,37 +198,94 @@ def _link_members(docs: DataFrame, signed: DataFrame, members: DataFrame, key: s
     pairs = central.select(F.col("leader.node").alias("p"), F.col("node").alias("x")).where("p != x")
     links = materialize(_linked(pairs, sets, percent), "links")
     labels = components(links, nodes, "p", "x")
-    leaders = materialize(leaders.select("sig", F.col("leader.node").alias("first")), "leaders")
-    done = None
-    pivots = 1
-    while True:
-        state = members.join(labels, "node")
-        if done is not None:
-            state = state.join(done.withColumn("done", F.lit(True)), ["sig", "node"], "left")
-        else:
-            state = state.withColumn("done", F.lit(None).cast("boolean"))
-        state = materialize(state.select("sig", "node", "degree", "comp", F.coalesce("done", F.lit(False)).alias("done")), "state")
-        open_ = state.groupBy("sig").agg(
-            F.min(F.when(~F.col("done"), F.col("comp"))).alias("lo"), F.max(F.when(~F.col("done"), F.col("comp"))).alias("hi")
-        )
-        open_ = materialize(open_.where("lo != hi").select("sig"), "open")
-        if open_.isEmpty():
-            return labels
-        here = state.join(open_, "sig", "left_semi")
-        if done is None:
-            chosen = here.join(leaders, "sig").where("node = first")
-        else:
-            main = here.join(leaders, (here["sig"] == leaders["sig"]) & (here["node"] == leaders["first"])).select(here["sig"], here["comp"].alias("main"))
-            outside = here.join(main, "sig").where("not done and comp != main")
-            best = Window.partitionBy("sig").orderBy(F.desc("degree"), "node")
-            chosen = outside.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= pivots).drop("_k")
-            pivots *= 4
-        chosen = materialize(chosen.select("sig", F.col("node").alias("p"), F.col("comp").alias("pc")), "pivots")
-        pairs = here.join(chosen, "sig").where("comp != pc").select("p", F.col("node").alias("x")).distinct()
-        links = links.unionByName(materialize(_linked(pairs, sets, percent), "links"))
-        labels = components(links, nodes, "p", "x")
-        tried = chosen.select("sig", F.col("p").alias("node"))
-        done = tried if done is None else done.unionByName(tried).distinct()
+    state = members.join(labels, "node").select("sig", "node", "comp")
+    parts = state.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub"))
+    open_ = materialize(parts.where("lo != hi").select("sig", "hub"), "open")
+    if open_.isEmpty():
+        return labels
+    spokes = state.join(open_, "sig").select(F.col("node").alias("p"), F.col("hub").alias("x"))
+    held = materialize(spokes.distinct(), "spokes")
+    clusters = components(held, held.select("p"), "p", "x").withColumnRenamed("comp", "cluster")
+    forest = materialize(_block_products(clusters.join(labels, "node"), sets, percent), "forest")
+    return components(links.unionByName(forest), nodes, "p", "x")
+
+
+def _block_products(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, x), a forest of the links between different parts of each cluster, from (node, cluster, comp)."""
+    sized = materialize(nodes.join(sets, "node"), "clustered")
+    by_part = sized.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum(F.size("grams")).alias("g"))
+    # a large part has chunks of its own; the small ones of a cluster share theirs
+    part = F.when(F.col("m") >= CHUNK_SETS // 2, F.col("comp"))
+    by_chunk = by_part.groupBy("cluster", part.alias("part")).agg(F.sum("m").alias("m"), F.sum("g").alias("g"))
+    chunks = by_chunk.select(
+        "cluster", "part", F.ceil(F.greatest(F.col("m") / CHUNK_SETS, F.col("g") / CHUNK_GRAMS)).cast("long").alias("chunks")
+    )
+    of_part = by_part.select(F.col("cluster").alias("c"), F.col("comp").alias("q"), part.alias("part"))
+    same = lambda a, b: (a["cluster"] == b["cluster"]) & a["part"].eqNullSafe(b["part"])
+    placed = sized.join(of_part, (sized["cluster"] == of_part["c"]) & (sized["comp"] == of_part["q"])).drop("c", "q")
+    placed = placed.join(chunks, same(placed, chunks)).select(
+        placed["cluster"], placed["part"], "node", "grams", F.pmod(F.xxhash64("node"), "chunks").alias("k")
+    )
+    listed = chunks.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    chunk = F.struct("part", "k")
+    left = listed.select("cluster", chunk.alias("a"))
+    pairs = left.join(listed.select("cluster", chunk.alias("b")), "cluster").where(
+        (F.col("a") <= F.col("b")) & (F.col("a.part").isNull() | ~F.col("a.part").eqNullSafe(F.col("b.part")))
+    )
+    pairs = pairs.withColumn("block", F.xxhash64("cluster", "a", "b"))
+    sides = pairs.select("cluster", "block", F.explode(F.array_distinct(F.array("a", "b"))).alias("s")).select(
+        F.col("cluster").alias("c"), "block", F.col("s.part").alias("sp"), F.col("s.k").alias("sk")
+    )
+    on = (placed["cluster"] == sides["c"]) & placed["part"].eqNullSafe(sides["sp"]) & (placed["k"] == sides["sk"])
+    blocks = placed.join(sides, on).select("block", "node", "grams")
+    return blocks.groupBy("block").applyInArrow(_product(percent), "p long, x long")
+
+
+def _product(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        nodes = block.column("node").to_numpy()
+        lists = block.column("grams").combine_chunks()
+        grams = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy())
+        overlap = overlaps(np.repeat(np.arange(len(nodes)), sizes), grams, len(nodes))
+        both = sizes[:, None] + sizes[None, :]
+        linked = (100 + percent) * overlap.astype(np.int64) >= percent * both
+        root = np.full(len(nodes), -1)
+        for i in range(len(nodes)):
+            if root[i] < 0:
+                front = np.array([i])
+                while len(front):
+                    root[front] = i
+                    front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
+        return pa.table({"p": nodes[root], "x": nodes}).filter(pa.array(nodes[root] != nodes))
+
+    return run
+
+
+def overlaps(rows: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+    """The n x n matrix of the numbers of common grams; rows names the set of each gram."""
+    _, columns, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), dtype=np.float32)
+    frequent = np.flatnonzero(counts > RARE)
+    number = np.full(len(counts), -1)
+    number[frequent] = np.arange(len(frequent))
+    dense = number[columns] >= 0
+    for first in range(0, len(frequent), DENSE_COLUMNS):
+        block = np.zeros((n, min(DENSE_COLUMNS, len(frequent) - first)), dtype=np.float32)
+        here = dense & (number[columns] >= first) & (number[columns] < first + block.shape[1])
+        block[rows[here], number[columns[here]] - first] = 1
+        out += block @ block.T
+    rare = ~dense & (counts[columns] > 1)
+    order = np.argsort(columns[rare], kind="stable")
+    r, c = rows[rare][order], columns[rare][order]
+    for shift in range(1, RARE):
+        same = np.flatnonzero(c[shift:] == c[:-shift])
+        if not len(same):
+            break
+        found = np.bincount(r[same] * n + r[same + shift], minlength=n * n).reshape(n, n)
+        out += found
+        out += found.T
+    return out
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
