@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sparklog.llm import line_dedup, ngram_join, quality, sharding
+from sparklog.llm import line_dedup, ngram_join, quality, sharding, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_weighted_hash_tree": sharding.op3_weighted_hash_tree,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_suffix_automata": substring_dedup.op7_suffix_automata,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_suffix_automata": substring_dedup.OP7_SQL,
     "op9_ngram_jaccard": ngram_join.OP9_SQL,
 }
