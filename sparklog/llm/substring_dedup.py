@@ -77,18 +77,20 @@ def _read(run: int):
                 m, s, first, last = segments(words, doc, run)
                 here = doc[first] if len(first) else first
                 windows = rolled(words, run)
-                own_doc, own_at = [], []
+                own_doc, own_a, own_b = [], [], []
                 for i in range(len(at) - 1):
                     w = windows[at[i] : max(at[i + 1] - run + 1, at[i])]
                     if len(w) > 1:
                         _, back, count = np.unique(w, return_inverse=True, return_counts=True)
                         if len(count) < len(w):
                             twice = np.flatnonzero(count[back] > 1)
-                            own_doc.append(np.full(len(twice), i))
-                            own_at.append(twice)
+                            cut = np.flatnonzero(np.diff(twice) > 1)
+                            own_a.append(twice[np.concatenate([[0], cut + 1])])
+                            own_b.append(twice[np.concatenate([cut, [len(twice) - 1]])])
+                            own_doc.append(np.full(len(own_a[-1]), i))
                 row = np.concatenate([here, *own_doc]).astype(np.int64)
-                a = np.concatenate([first - at[here], *own_at]).astype(np.int32)
-                b = np.concatenate([last - at[here], *own_at]).astype(np.int32)
+                a = np.concatenate([first - at[here], *own_a]).astype(np.int32)
+                b = np.concatenate([last - at[here], *own_b]).astype(np.int32)
                 own = np.arange(len(row)) >= len(here)
                 pad = np.zeros(len(row) - len(here), dtype=np.uint64)
                 take = pa.array(row + start)
