@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sparklog.llm import chat, line_dedup, ngram_join, packing, quality, secret_scan, sharding, substring_dedup
+from sparklog.llm import chat, decontam, line_dedup, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
+    "op1_simhash_decontamination": decontam.op1_simhash_decontamination,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_weighted_hash_tree": sharding.op3_weighted_hash_tree,
+    "op4_weak_supervision_pii": pii.op4_weak_supervision_pii,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_structural_secrets": secret_scan.op6_structural_secrets,
     "op7_suffix_automata": substring_dedup.op7_suffix_automata,
