@@ -26,8 +26,11 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,49 +44,83 @@ CACHE_WORDS, CACHE_BYTES = 400_000, 64
 #: Rows of the table of runs up to which it is broadcast.
 BROADCAST_RUNS = 200_000
 
-_known: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Words of these letters are in the normal form already and one pre-token each.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+")
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _tokenizer(path: str):
-    if path not in _known:
+class WordTokenizer:
+    """Ids of words as little-endian 32-bit numbers, remembered; for tokenizers that lower-case
+    letters and drop white space.
+
+    Plain words go to the model alone, a final full stop or comma apart; all others through the
+    whole tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {})
-    return _known[path]
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.known: dict[bytes, bytes] = {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.ends = {bytes([c]): self.encode([bytes([c])])[0] for c in b".,"}
+        probe = ["Über", "x.", "don't", "ñ,"]
+        if b"".join(self.ids({w.encode().lower() for w in probe})[w.encode().lower()] for w in probe) != self.encode([" \n".join(probe).encode()])[0]:
+            raise ValueError(f"{path} does not tokenize words by themselves")
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        coded = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def plain(self, word: bytes) -> bytes | None:
+        end = self.ends.get(word[-1:]) if len(word) > 1 and word[-2] in _LETTERS else None
+        stem = word[:-1] if end else word
+        if not _PLAIN.fullmatch(stem.decode("utf-8", "replace")):
+            return None
+        tokens = self.model.tokenize(stem.decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes() + (end or b"")
+
+    def ids(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of at least these words."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = list(words)
+        out, slow = self.known, []
+        for w in new:
+            ids = self.plain(w) if len(w) <= CACHE_BYTES else None
+            if ids is None:
+                slow.append(w)
+            else:
+                out[w] = ids
+        long = {}
+        for w, ids in zip(slow, self.encode(slow), strict=True):
+            (out if len(w) <= CACHE_BYTES else long)[w] = ids
+        return out | long if long else out
 
 
-def word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
-    """The ids of words as little-endian 32-bit numbers; the worker's memory of them."""
-    tokenizer, known = _tokenizer(path)
-    new = [w for w in words if w not in known]
-    if new:
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(words)
-        coded = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        known.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-    return known
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def _cut(path: str, capacity: int, end_id: int):
     """(id, piece, start, length, ids_crc32) of every piece."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = word_tokenizer(path)
         for batch in batches:
             texts = batch.column(1)
             for first in range(0, len(texts), 200):
-                part = texts.slice(first, 200)
-                split = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in part]
-                words = set().union(*split)
-                long = {w for w in words if len(w) > CACHE_BYTES}
-                known = word_ids(words - long, path)
-                if long:
-                    tokenizer = _tokenizer(path)[0]
-                    known = known | {
-                        w: np.array(tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in long
-                    }
+                raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.slice(first, 200)]
+                # special tokens, which begin so, are told by their case; else case doesn't matter
+                split = [(t if b"<|" in t else t.lower()).split() for t in raw]
+                known = tokenizer.ids(set().union(*split))
                 rows = []
                 for i, doc in enumerate(split):
                     ids = b"".join(map(known.__getitem__, doc)) + end
