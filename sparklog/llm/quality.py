@@ -40,7 +40,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words; word_chars, code points in words; n_symbols; n_dup_lines, lines with a word that
     equal an earlier line of the text; n_repeat_words, words in three-word windows found twice
-    or more in the text.
+    or more in the text. Write the result (materialize) before filtering on these columns: Spark
+    would push the filter below and compute them anew for every element of the arrays.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD_CHAR))
