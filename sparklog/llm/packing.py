@@ -11,8 +11,8 @@ a sequence has tokens, however large the corpus. On that table:
    do. Counts are fixed many at a time.
 2. *Best fit*, longest first, for the rest: into the fullest open sequence with room.
 
-The result is runs: the pieces of a length with ranks from r go to sequences from s, at offset
-o. Pieces are ranked within their length without a task holding a whole length, and find their
+The result is runs: the pieces of a length with ranks from r go to sequences from s, n to each,
+from offset o. Pieces are ranked within their length without a task holding a whole length, and find their
 run by a join with the table of runs, whose size the sequence's length bounds.
 
 Tokenizing: this tokenizer drops white space and merges nothing across it, so a text's ids are
@@ -29,6 +29,7 @@ import os
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -186,39 +187,49 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[tuple[i
     return fixed
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit decreasing of what counts[length] holds, many equal sequences at a time."""
-    open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Best fit decreasing of what counts[length] holds, many equal sequences at a time.
+
+    Returns (((length, how many in each), ...), sequences). A sequence that takes a piece is the
+    fullest with room for the next of that length too, so it is filled up before another one is.
+    """
+    open_: list[list[tuple[tuple[tuple[int, int], ...], int]]] = [[] for _ in range(capacity + 1)]
     for x in range(capacity, 0, -1):
         left = int(counts[x])
         while left:
             room = next((r for r in range(x, capacity + 1) if open_[r]), None)
-            lengths, times = open_[room].pop() if room is not None else ((), left)
+            held, times = open_[room].pop() if room is not None else ((), left)
             room = capacity if room is None else room
-            used = min(times, left)
-            if times > used:
-                open_[room].append((lengths, times - used))
-            open_[room - x].append(((*lengths, x), used))
-            left -= used
+            each = room // x
+            full = min(times, left // each)
+            left -= full * each
+            last = left if full < times else 0  # a sequence that the rest does not fill
+            left -= last
+            if full:
+                open_[room - each * x].append(((*held, (x, each)), full))
+            if last:
+                open_[room - last * x].append(((*held, (x, last)), 1))
+            if held and (unused := times - full - bool(last)):
+                open_[room].append((held, unused))
     return [group for groups in open_ for group in groups]
 
 
-def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, last rank, first sequence, offset) of every run."""
+def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, last rank, how many in each sequence, first sequence, offset) of every run."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    groups = reduce_by_dominance(left, capacity)
+    groups = [(tuple(Counter(lengths).items()), times) for lengths, times in reduce_by_dominance(left, capacity)]
     groups += best_fit(left, capacity)
     ranks: dict[int, int] = {}
     runs, sequence = [], 0
-    for lengths, times in groups:
+    for held, times in groups:
         offset = 0
-        for x in lengths:
+        for x, each in held:
             rank = ranks.get(x, 0)
-            runs.append((x, rank, rank + times - 1, sequence, offset))
-            ranks[x] = rank + times
-            offset += x
+            runs.append((x, rank, rank + times * each - 1, each, sequence, offset))
+            ranks[x] = rank + times * each
+            offset += x * each
         sequence += times
     return runs
 
@@ -232,11 +243,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     stored = materialize(with_row_position(pieces), "pieces")
     counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = spark.createDataFrame(
-        plan_runs(counts, capacity), "run_length long, first_rank long, last_rank long, first_sequence long, offset long"
+        plan_runs(counts, capacity), "run_length long, first_rank long, last_rank long, each long, first_sequence long, first_offset long"
     )
     if runs.count() <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
     ranked = gapless_rank(stored, ["length"], "rank")
+    nth = F.col("rank") - F.col("first_rank")
     on = (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank"))
     return ranked.join(runs, on).select(
         F.col("id").alias(key),
@@ -244,8 +256,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         "start",
         "length",
         "ids_crc32",
-        (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"),
-        "offset",
+        (F.col("first_sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"),
+        (F.col("first_offset") + F.col("length") * (nth % F.col("each"))).alias("offset"),
     )
 
 
