@@ -3,11 +3,16 @@
 Base spans, leftmost and non-overlapping for each kind: ``assign``, ``access`` and ``hex`` (the
 patterns below). The method adds spans of encoded keys, which it reports only after decoding:
 
-* ``pem``: a private-key block whose base64 body is one DER value with lengths that fit;
-* ``der``: base64 or hex that decodes to a DER key: a sequence that begins with a small version
-  number and nests without a gap, or an OpenSSH public key of length-prefixed fields;
+* ``pem``: a private-key block whose base64 body is one of the private keys below;
+* ``der``: base64 or hex that decodes to a private key, or base64 of an OpenSSH public key of
+  length-prefixed fields;
 * ``jwt``: a signed token whose first part is a JSON header with ``alg`` and whose second is JSON.
 
+Private keys are a DER sequence that begins with a small version number and nests without a gap;
+a DER sequence of a password-based algorithm and an octet string (EncryptedPrivateKeyInfo); and
+``openssh-key-v1``, whose length-prefixed fields fill the data. A block with ``Proc-Type`` headers
+is not confirmed: its body is bare ciphertext without a structure.
+
 All patterns run in time linear in the text. Defined cases: null or empty text has no spans; a
 candidate that fails is dropped and not tried again from within; ids may be null or repeat, each
 row is scanned; an empty table gives an empty table; other columns are ignored.
@@ -34,6 +39,9 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*+)-----END \1-----", re.ASCII)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}+|[0-9A-F]{64,}+)(?![0-9A-Za-z])")
+#: Algorithms that encrypt by a password: PKCS 5, then PKCS 12.
+_BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_OPENSSH = b"openssh-key-v1\0"
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 
 
@@ -76,16 +84,57 @@ def is_der_key(data: bytes | None) -> bool:
     return len(parts) >= 3 and parts[0][0] == 2 and parts[0][1] in (b"\0", b"\1") and parts[1][0] in (0x02, 0x04, 0x30)
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    """Length-prefixed fields that fill data, the first naming a key type."""
-    fields, at = [], 0
-    while data and at + 4 <= len(data):
+def is_encrypted_key(data: bytes | None) -> bool:
+    """One sequence of a password-based algorithm with parameters and an octet string."""
+    top = der_values(data) if data else None
+    if not top or len(top) != 1 or top[0][0] != 0x30:
+        return False
+    parts = der_values(top[0][1]) or []
+    if [tag for tag, _ in parts] != [0x30, 0x04] or not parts[1][1]:
+        return False
+    algorithm = der_values(parts[0][1]) or []
+    return [tag for tag, _ in algorithm] == [0x06, 0x30] and algorithm[0][1].startswith(_BY_PASSWORD)
+
+
+def ssh_fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at`` on, all or at most so many, and where they end."""
+    fields: list[bytes] = []
+    while at < len(data) and len(fields) != most:
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
+            return None
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return len(fields) >= 2 and at == len(data) and re.match(rb"(ssh|ecdsa|sk)-", fields[0]) is not None
+    return fields, at
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    """Length-prefixed fields that fill data, the first naming a key type."""
+    found = ssh_fields(data) if data else None
+    return found is not None and len(found[0]) >= 2 and re.match(rb"(ssh|ecdsa|sk)-", found[0][0]) is not None
+
+
+def is_openssh_key(data: bytes | None) -> bool:
+    """The magic, cipher, kdf and its options, a count, as many public keys, and the private part."""
+    if not data or not data.startswith(_OPENSSH):
+        return False
+    names = ssh_fields(data, len(_OPENSSH), 3)
+    if names is None or len(names[0]) != 3 or names[1] + 4 > len(data):
+        return False
+    (cipher, kdf, _), at = names
+    count = int.from_bytes(data[at : at + 4], "big")
+    keys = ssh_fields(data, at + 4, count + 1)
+    if count < 1 or keys is None or len(keys[0]) != count + 1 or not all(map(is_ssh_key, keys[0][:-1])):
+        return False
+    private, rest = keys[0][-1], len(data) - keys[1]
+    if cipher == b"none":  # two equal numbers tell that it is decrypted
+        return kdf == b"none" and rest == 0 and len(private) >= 8 and private[:4] == private[4:8]
+    sealed = b"gcm" in cipher or b"poly1305" in cipher  # their tag follows the last field
+    return bool(cipher) and kdf != b"none" and len(private) >= 8 and rest == (16 if sealed else 0)
+
+
+def is_private_key(data: bytes | None) -> bool:
+    return is_der_key(data) or is_encrypted_key(data) or is_openssh_key(data)
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -102,9 +151,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_der_key(decode64(m[2]))]
-    found += [("der", *m.span()) for m in _BASE64.finditer(text) if is_der_key(d := decode64(m[0])) or is_ssh_key(d)]
-    found += [("der", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_private_key(decode64(m[2]))]
+    found += [("der", *m.span()) for m in _BASE64.finditer(text) if is_private_key(d := decode64(m[0])) or is_ssh_key(d)]
+    found += [("der", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
