@@ -5,9 +5,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklog.operators.sequence import sequence
+
 BY = ("stream", "partition")
 
 
@@ -41,6 +44,20 @@ def choose_replicas(brokers: DataFrame, factor: int, by: Sequence[str] = ()) ->
     return ranked if factor < 0 else ranked.where(F.col("rank") <= factor)
 
 
+def assign_partitions(members: DataFrame, streams: DataFrame) -> DataFrame:
+    """The member that holds each partition, for members (stream, member) of one stream each.
+
+    Partition p goes to the member of rank p % n by id, as Group deals them. Members are ranked
+    by sequence(), so that a stream with many of them is spread over tasks.
+    """
+    own = members.select("stream", "member").distinct()
+    ranked = sequence(own, ["stream"], ["member"], bucket=F.substring("member", 1, 4)).withColumnRenamed("offset", "rank")
+    sizes = own.groupBy("stream").agg(F.count("*").alias("n"))
+    held = streams.where("partitions > 0").join(sizes, "stream")
+    held = held.select("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partitions").cast("long") - 1)).alias("partition"), "n")
+    return held.withColumn("rank", F.col("partition") % F.col("n")).join(ranked, ["stream", "rank"]).select("stream", "partition", "member")
+
+
 class Group:
     """A consumer group's assignment, a fold over membership events.
 
@@ -92,3 +109,24 @@ class Group:
             n, m = heap[0]
             self.assigned[m][stream].append(p)
             heapq.heapreplace(heap, (n + 1, m))
+
+
+def fold_groups(events: DataFrame, partitions: dict[str, int]) -> DataFrame:
+    """The assignments (group, stream, partition, member) after all membership events.
+
+    ``events`` has group, seq, member, op (join or leave) and streams; a join of a member and a
+    leave of one that is none change nothing. A group's events are folded by one task.
+    """
+
+    def fold(pdf):
+        group = Group(partitions)
+        for e in pdf.sort_values("seq").itertuples():
+            if e.op == "join" and e.member not in group.members:
+                group.join(e.member, list(e.streams))
+            elif e.op == "leave" and e.member in group.members:
+                group.leave(e.member)
+        rows = [(pdf["group"].iloc[0], s, p, m) for m, held in group.assigned.items() for s, ps in held.items() for p in ps]
+        return pd.DataFrame(rows, columns=["group", "stream", "partition", "member"])
+
+    schema = f"group {dict(events.dtypes)['group']}, stream string, partition long, member string"
+    return events.groupBy("group").applyInPandas(fold, schema)

@@ -277,13 +277,13 @@ latest AS (SELECT partition, cursor_id, arg_max(cursor_offset, log_offset) AS cu
 
 
 def _cursors(log: DataFrame) -> DataFrame:
-    set_ = log.where("offset % 7 = 0").select("partition", F.col("event_type").alias("cursor_id"), F.col("offset").alias("log_offset"), (F.col("offset") - 1).alias("cursor_offset"))
+    set_ = log.select("partition", F.col("event_type").alias("cursor_id"), F.col("offset").alias("log_offset"), (F.col("offset") - 1).alias("cursor_offset"))
     return commit.latest_cursors(set_, ["partition", "cursor_id"])
 
 
 @query("cursor_latest", LOG + _CURSORS + " SELECT cursor_id || ',events,' || partition AS cursor_key, cursor_offset FROM latest")
 def cursor_latest(spark, sf_dir):
-    latest = _cursors(events_log(spark, sf_dir))
+    latest = _cursors(events_log(spark, sf_dir).where("offset % 7 = 0"))
     return latest.select(scalar.cursor_key(F.col("cursor_id"), F.lit("events"), F.col("partition")).alias("cursor_key"), "cursor_offset")
 
 
@@ -292,9 +292,30 @@ SELECT partition, cursor_id, coalesce(cursor_offset, -1) AS cursor_offset FROM a
 def cursor_missing_default(spark, sf_dir):
     log = events_log(spark, sf_dir)
     asked = log.select("partition").distinct().withColumn("cursor_id", F.explode(F.array(F.lit("click"), F.lit("nobody"))))
+    return _latest_or_none(asked, log.where("offset % 7 = 0"))
+
+
+#: The cursor queries over every record.
+_ALL_CURSORS = (' WHERE "offset" % 7 = 0', "")
+
+
+def _latest_or_none(asked: DataFrame, log: DataFrame) -> DataFrame:
     return asked.join(_cursors(log), ["partition", "cursor_id"], "left").withColumn("cursor_offset", F.coalesce("cursor_offset", F.lit(-1).cast("long")))
 
 
+@query("cursor_latest_all", ORACLE_SQL["cursor_latest"].replace(*_ALL_CURSORS))
+def cursor_latest_all(spark, sf_dir):
+    latest = _cursors(events_log(spark, sf_dir))
+    return latest.select(scalar.cursor_key(F.col("cursor_id"), F.lit("events"), F.col("partition")).alias("cursor_key"), "cursor_offset")
+
+
+@query("cursor_missing_default_all", ORACLE_SQL["cursor_missing_default"].replace(*_ALL_CURSORS))
+def cursor_missing_default_all(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    asked = log.select("partition").distinct().withColumn("cursor_id", F.explode(F.array(F.lit("click"), F.lit("nobody"))))
+    return _latest_or_none(asked, log)
+
+
 _GROUP_CURSOR = """, cur AS (SELECT partition, CAST(max("offset") // 2 AS BIGINT) AS cursor_offset FROM log WHERE partition < 3 GROUP BY ALL), b AS (SELECT partition, max("offset") AS newest FROM log GROUP BY ALL)"""
 
 
@@ -316,12 +337,32 @@ def resume_from_cursor(spark, sf_dir):
 @query("group_assign_single_stream", """WITH m AS (SELECT 's' || s_suppkey AS id, row_number() OVER (ORDER BY 's' || s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier WHERE s_suppkey <= 5)
 SELECT p AS partition, id AS member FROM range(0, 12) t(p), m WHERE p % n = r""")
 def group_assign_single_stream(spark, sf_dir):
-    ids = [r[0] for r in table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("s"), "s_suppkey")).collect()]
-    group = commit.Group({"foo": 12})
-    for m in ids:
-        group.join(m, ["foo"])
-    rows = [(p, m) for m, held in group.assigned.items() for p in held.get("foo", [])]
-    return spark.createDataFrame(rows, "partition long, member string")
+    return _dealt(spark, table(spark, sf_dir, "supplier").where("s_suppkey <= 5"))
+
+
+def _dealt(spark: SparkSession, suppliers: DataFrame) -> DataFrame:
+    """Twelve partitions of one stream, dealt to suppliers."""
+    members = suppliers.select(F.lit("foo").alias("stream"), F.concat(F.lit("s"), "s_suppkey").alias("member"))
+    return commit.assign_partitions(members, spark.createDataFrame([("foo", 12)], "stream string, partitions long")).drop("stream")
+
+
+@query("group_assign_all_members", ORACLE_SQL["group_assign_single_stream"].replace(" WHERE s_suppkey <= 5", ""))
+def group_assign_all_members(spark, sf_dir):
+    return _dealt(spark, table(spark, sf_dir, "supplier"))
+
+
+@query("group_assign_fold")
+def group_assign_fold(spark, sf_dir):
+    """Twenty conversations form a group; every third turn leaves it, the others join."""
+    events = table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 20).cast("long").alias("group"),
+        F.struct("turn", "conv_id").alias("at"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("member"),
+        F.when(F.col("turn") % 3 == 2, "leave").otherwise("join").alias("op"),
+        F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("foo"), F.lit("bar"))).otherwise(F.array(F.lit("foo"))).alias("streams"),
+    )
+    line = Window.partitionBy("group").orderBy("at")
+    return commit.fold_groups(events.withColumn("seq", F.row_number().over(line)).drop("at"), {"foo": 12, "bar": 5})
 
 
 _BROKERS = "b AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey AS position, count(s_suppkey) AS load FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)"
@@ -397,9 +438,17 @@ f AS (
   FROM f JOIN a ON a.partition = f.partition AND a.n = f.n + 1
 ) SELECT partition, n, accepted, got AS "offset" FROM f""")
 def occ_accept(spark, sf_dir):
-    tried = events_log(spark, sf_dir).where("offset < 500").withColumn("n", F.col("offset"))
-    tried = tried.withColumn("expected", F.when(F.col("n") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.col("n") / 2)).cast("long"))
-    return seq.accept_expected(tried, ["partition"], "n")
+    return _tried(events_log(spark, sf_dir).where("offset < 500"))
+
+
+def _tried(log: DataFrame) -> DataFrame:
+    expected = F.when(F.col("offset") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.col("offset") / 2)).cast("long")
+    return seq.accept_expected(log.withColumn("n", F.col("offset")).withColumn("expected", expected), ["partition"], "n")
+
+
+@query("occ_accept_all", ORACLE_SQL["occ_accept"].replace(' WHERE "offset" < 500', ""))
+def occ_accept_all(spark, sf_dir):
+    return _tried(events_log(spark, sf_dir))
 
 
 @query("auto_pause_gaps", LOG + """SELECT partition, "offset", ts_us - before AS idle_us FROM (SELECT *, lag(ts_us) OVER (PARTITION BY partition ORDER BY "offset") AS before FROM log) WHERE ts_us - before > 3600000000""")
