@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +36,33 @@ def record_size(key: str = "key", value: str = "value") -> Column:
     return (F.lit(28 + 6 + 4 + 4 + 2) + length(key) + length(value)).cast("long")
 
 
+def fold_in_order(df: DataFrame, by: Sequence[str], order: str, value: str, step: Callable, start: object, results: dict[str, str]) -> DataFrame:
+    """by, order and results: a fold over each partition's rows in order.
+
+    ``step(state, order, value)`` returns the next state and the row's results. Rows are sorted by
+    Spark, which spills, and pass in batches, so that a task holds a batch and a state however
+    long the partition is; but the rows of one partition pass through one task.
+    """
+    slim = df.select(*by, order, value).repartition(*by).sortWithinPartitions(*by, order)
+    kinds, n = dict(slim.dtypes), len(by)
+    types = [{"long": pa.int64(), "boolean": pa.bool_()}[t] for t in results.values()]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != key:
+                    key, state = row[:n], start
+                state, result = step(state, row[n], row[n + 1])
+                out.append(result)
+            added = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *added], names=[*by, order, *results])
+
+    schema = ", ".join([f"{c} {kinds[c]}" for c in (*by, order)] + [f"{c} {t}" for c, t in results.items()])
+    return slim.mapInArrow(go, schema)
+
+
 def roll_segments(log: DataFrame, max_bytes: int, by: Sequence[str] = ("stream", "partition")) -> DataFrame:
     """Add ``segment``, the base offset of the segment that each record falls in.
 
@@ -43,21 +70,14 @@ def roll_segments(log: DataFrame, max_bytes: int, by: Sequence[str] = ("stream",
     each segment, so this is a fold over a partition's sizes in order; only sizes enter Python,
     and state is two numbers.
     """
-    slim = log.select(*by, "offset", "size_bytes")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        bases, base, held = [], None, 0
-        for offset, size in zip(pdf["offset"].tolist(), pdf["size_bytes"].tolist(), strict=True):
-            if base is None or held >= max_bytes:
-                base, held = offset, 0
-            held += size
-            bases.append(base)
-        return pdf.assign(segment=bases)[[*by, "offset", "segment"]]
+    def step(state, offset, size):
+        base, held = state
+        if base is None or held >= max_bytes:
+            base, held = offset, 0
+        return (base, held + size), (base,)
 
-    kinds = dict(log.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", offset long, segment long"
-    return log.join(slim.groupBy(*by).applyInPandas(fold, schema), [*by, "offset"])
+    return log.join(fold_in_order(log, by, "offset", "size_bytes", step, (None, 0), {"segment": "long"}), [*by, "offset"])
 
 
 def accept_expected(attempts: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -66,20 +86,12 @@ def accept_expected(attempts: DataFrame, by: Sequence[str], order: str) -> DataF
     An attempt is accepted if its expected offset is -1 or the next offset; a rejected one takes
     no offset. A fold for each partition.
     """
-    kinds = dict(attempts.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", {order} {kinds[order]}, accepted boolean, offset long"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        following, accepted, offsets = 0, [], []
-        for expected in pdf["expected"].tolist():
-            good = expected in (-1, following)
-            accepted.append(good)
-            offsets.append(following if good else None)
-            following += good
-        return pdf.assign(accepted=accepted, offset=pd.array(offsets, dtype="Int64"))[[*by, order, "accepted", "offset"]]
-
-    return attempts.select(*by, order, "expected").groupBy(*by).applyInPandas(fold, schema)
+
+    def step(following, _, expected):
+        good = expected in (-1, following)
+        return following + good, (good, following if good else None)
+
+    return fold_in_order(attempts, by, order, "expected", step, 0, {"accepted": "boolean", "offset": "long"})
 
 
 def epoch_starts(log: DataFrame, by: Sequence[str] = ("stream", "partition")) -> DataFrame:

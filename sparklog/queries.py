@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparklog.functions import scalar
-from sparklog.operators import commit, compact, scan
+from sparklog.operators import commit, compact, quantiles, scan
 from sparklog.operators import sequence as seq
 from sparklog.plans import catalog
 from sparklog.schema import RESERVED_STREAMS
@@ -526,8 +526,16 @@ def throughput_stats(spark, sf_dir):
 
 @query("latency_percentiles", "SELECT event_type, round(min(value), 6) AS least, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS most FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    at = lambda q: F.round(F.percentile("value", q), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.min("value"), 6).alias("least"), at(0.5).alias("p50"), at(0.99).alias("p99"), F.round(F.max("value"), 6).alias("most"))
+    found = quantiles.summary(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p99": 0.99})
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("least", "p50", "p99", "most")))
+
+
+@query("latency_summary", """SELECT event_type, round(min(value), 6) AS least, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+  round(quantile_cont(value, 0.99), 6) AS p99, round(quantile_cont(value, 0.999), 6) AS p999, round(max(value), 6) AS most FROM events GROUP BY event_type""")
+def latency_summary(spark, sf_dir):
+    at = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    found = quantiles.summary(table(spark, sf_dir, "events"), "event_type", "value", at)
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("least", "mean", *at, "most")))
 
 
 @query("envelope_decode", "SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS sent_bytes, text AS value, TRUE AS raw_is_value FROM documents")
