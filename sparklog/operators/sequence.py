@@ -23,10 +23,14 @@ def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Col
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     numbered = keyed.withColumn("_row", F.row_number().over(inside) - 1)
     base = F.lit(base) if isinstance(base, int) else base
+    on, keys = F.lit(True), [*by, "_bucket"]  # null keys and buckets are numbered too
+    for c in keys:
+        starts = starts.withColumnRenamed(c, f"_of_{c}")
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     return (
-        numbered.join(starts, [*by, "_bucket"])
+        numbered.join(starts, on)
         .withColumn("offset", (F.col("_start") + F.col("_row") + base).cast("long"))
-        .drop("_bucket", "_row", "_start")
+        .drop("_bucket", "_row", "_start", *(f"_of_{c}" for c in keys))
     )
 
 

@@ -13,7 +13,7 @@ from sparklog.operators import sequence as seq
 from sparklog.plans import catalog
 from sparklog.schema import RESERVED_STREAMS
 from sparklog.sources.events import events_log, raw_events, table
-from sparklog.streaming.sequencing import drain, sequence_stream
+from sparklog.streaming.sequencing import drain_sequenced
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -557,7 +557,7 @@ def stream_sequence_available_now(spark, sf_dir):
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
     raw = source.select(F.pmod("user_id", F.lit(4)).cast("int").alias("partition"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparklog-')}"
-    return drain(sequence_stream(raw), root).select("partition", "offset", "event_id")
+    return drain_sequenced(raw, root).select("partition", "offset", "event_id")
 
 
 @query("union_streams", LOG + """SELECT stream, partition, "offset", key FROM log UNION ALL
