@@ -99,8 +99,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         shared >= THRESHOLD * F.col("weight")
     )
     slack = F.ceil((F.col("size") - (SHINGLE - 1)) * (1 - THRESHOLD) / (1 + THRESHOLD)).cast("int")
-    starts = F.array_distinct(F.flatten(F.transform("offsets", lambda d: F.sequence(d - slack, d + slack))))
-    places = likely.select("id", "th", "size", F.explode(starts).alias("start")).where("start >= 0")
+    # a document that lacks the words before is compared from its first one
+    moved = lambda d: F.transform(F.sequence(d - slack, d + slack), lambda s: F.greatest(s, F.lit(0)))
+    starts = F.array_distinct(F.flatten(F.transform("offsets", moved)))
+    places = likely.select("id", "th", "size", F.explode(starts).alias("start"))
     places = materialize(places.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("places")), "places")
 
     held = source.join(places, same_row(source, places, ["id", "th"])).select(source["id"], source["th"], "t", "places")
