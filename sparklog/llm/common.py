@@ -36,18 +36,34 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_own_root}"
 
 
+def _files(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage like checkpoint(), survives the loss of executors, and keeps the
-    columns prunable. The files go when the driver's JVM ends.
+    columns prunable. The files go with discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/sparklog/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, jvm_path = _files(spark, path)
+    files.deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what materialize() wrote, once every table that is computed from it is written."""
+    for df in stored:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            files, jvm_path = _files(df.sparkSession, path)
+            files.delete(jvm_path, True)
 
 
 def with_row_position(df: DataFrame) -> DataFrame:

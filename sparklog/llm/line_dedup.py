@@ -9,7 +9,8 @@ Defined cases: null text stays null; fewer than three lines with a word: nothing
 blank lines stay; the id may be null (it comes first) and need not be unique: rows with the same
 id and text count as one document and get the same result, equal ids with different texts are
 different documents in the order of their texts' hashes; an empty table gives an empty table;
-further columns are kept as they are.
+further columns are kept as they are, but the result's n_lines, n_removed and n_full win
+over columns of these names.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import WORD_CHAR, same_row, table
+from sparklog.llm.common import WORD_CHAR, table
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
-    """key, _th (the text's hash) and _starts, the windows to remove, for each document that has some."""
+    """_id, _hash (the text's hash), _starts, the windows to remove, and _full, the number of lines
+    with a word, for each document that has windows to remove."""
     full = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD_CHAR))
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_th"), full.alias("_l"))
+    lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), full.alias("_l"))
     at = lambda i, k: F.get(F.col("_l"), i + k)
     windows = (
         lines.where(F.size("_l") >= run)
         .select(
             "_id",
-            "_th",
+            "_hash",
+            F.size("_l").alias("full"),
             F.explode(
                 F.transform(
                     F.sequence(F.lit(0), F.size("_l") - run),
@@ -41,38 +44,43 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run
                 )
             ).alias("w"),
         )
-        .select("_id", "_th", "w.k", "w.h", "w.g")
+        .select("_id", "_hash", "full", "w.k", "w.h", "w.g")
     )
-    here = F.struct("_id", "_th", "k")
+    here = F.struct("_id", "_hash", "k")
     first = windows.groupBy("h", "g").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["h", "g"]).where(~here.eqNullSafe(F.col("first")))
-    return later.groupBy("_id", "_th").agg(F.collect_set("k").alias("_starts")).withColumnRenamed("_id", key)
+    return later.groupBy("_id", "_hash").agg(F.collect_set("k").alias("_starts"), F.max("full").alias("_full"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
-    """docs with the text cleaned, and n_lines and n_removed (blank lines count among n_lines)."""
-    hashed = docs.withColumn("_th", F.xxhash64(text))
+    """docs with the text cleaned, and n_lines, n_removed and n_full, the lines with a word before.
+
+    Blank lines count among n_lines; n_full is null where nothing is removed. The columns of docs
+    travel as one struct, so that none clashes with a helper column.
+    """
+    held = docs.select(F.struct(*docs.columns).alias("_d"), F.xxhash64(text).alias("_th"))
     marks = repeated_lines(docs, key, text, run)
-    joined = hashed.join(marks, same_row(hashed, marks, [key, "_th"]), "left").drop(marks[key], marks["_th"], hashed["_th"])
-    lines = joined.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    full = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get(F.col("_lines"), i).rlike(WORD_CHAR))
+    joined = held.join(marks, held[f"_d.{key}"].eqNullSafe(marks["_id"]) & (held["_th"] == marks["_hash"]), "left")
+    own = F.col(f"_d.{text}")
+    marked = joined.select("_d", "_starts", "_full", F.split(own, "\n", -1).alias("_lines"))
+    places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get(F.col("_lines"), i).rlike(WORD_CHAR))
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (run - 1)))))
-    marked = lines.withColumn("_full", F.when(F.col("_starts").isNotNull(), full)).withColumn("_cut", covered)
-    cut = F.transform("_cut", lambda k: F.get(F.col("_full"), k))
+    marked = marked.withColumn("_places", F.when(F.col("_starts").isNotNull(), places)).withColumn("_cut", covered)
+    cut = F.transform("_cut", lambda k: F.get(F.col("_places"), k))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), cut)
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return marked.withColumns(
-        {
-            text: F.when(F.col("_starts").isNull(), F.col(text)).otherwise(cleaned),
-            "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long"),
-            "n_removed": F.coalesce(F.when(F.col("_starts").isNotNull(), F.size("_cut")), F.lit(0)).cast("long"),
-        }
-    ).drop("_lines", "_starts", "_full", "_cut")
+    added = {
+        "n_lines": F.when(own.isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_lines"), F.lit(0))).cast("long"),
+        "n_removed": F.coalesce(F.when(F.col("_starts").isNotNull(), F.size("_cut")), F.lit(0)).cast("long"),
+        "n_full": F.col("_full").cast("long"),
+    }
+    kept = [F.col(f"_d.{c}").alias(c) for c in docs.columns if c != text and c not in added]
+    out = marked.select(*kept, F.when(F.col("_starts").isNull(), own).otherwise(cleaned).alias(text), *(v.alias(c) for c, v in added.items()))
+    return out.select(*(c for c in docs.columns if c not in added), *added)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 OP5_SQL = """

@@ -1,27 +1,31 @@
 """Op 9: documents whose sets of word n-grams have a Jaccard similarity of at least t.
 
 The join is the sparse product of the document by n-gram incidence matrix with its transpose,
-cut into blocks that can hold a result. Sizes bound everything: sets x, y with similarity >= t
-have sizes within the factor t, an overlap of at least t (|x| + |y|) / (1 + t), and so differ in
-at most (1 - t) (|x| + |y|) / (1 + t) n-grams.
-
-1. *Blocks.* The columns (n-grams, by hash) are cut into more column blocks than two linked sets
-   can differ in, so linked sets agree wholly in some block. A set's part in a block is summed
-   to a signature; the number of blocks follows from a size band, and a set works in the bands
-   in which it may be the smaller or the larger of a pair. Sets that agree in no signature
-   cannot link. Equal sets are one class throughout.
-2. *Products.* First every set meets the most central set that it shares a signature with, which
+cut into blocks that can hold a result. Sizes bound everything: a set x of s n-grams that links
+with y lacks at most k = s - ceil(t s) of its own in y, their overlap is at least
+t (|x| + |y|) / (1 + t), and their sizes lie within the factor t.
+
+1. *Rows.* Of the s n-grams in the order of their hashes, the first m = 1.5 k + 1 hold m - k that
+   y holds as well, and those stand early in y too. So each set lists its early columns, columns
+   listed twice or more are found, and only sets with m - k of them among their first m remain.
+   Sets of mostly their own words go here, at the price of a part of their columns, which are
+   counted as packed 32-bit numbers of a bucket.
+2. *Columns.* On the rows that remain every column is counted. With the rarest columns first, two
+   linked sets share one of their first k + 1, so only those are multiplied. A column of one row
+   brings no product and is left out.
+3. *Products.* First every set meets the most central set that it shares such a column with, which
    joins most groups of near copies in as many products as they have members. Where the members
-   of a signature then still lie in several parts, the clusters that such signatures hold
-   together are cut into chunks of bounded size, and each pair of chunks is one block product:
-   overlap counts are accumulated column by column in memory, dense for frequent n-grams and
-   pair by pair for rare ones, and counts below the bound are discarded. A block returns the
+   of a column then still lie in several parts, the clusters that such columns hold together are
+   cut into chunks of bounded size, and each pair of chunks whose sizes can match is one block
+   product: overlap counts are accumulated column by column in memory, dense for frequent n-grams
+   and pair by pair for rare ones, and counts below the bound are discarded. A block returns the
    links as a forest, a row for each set at most, never its pairs, and chunks of one part are
    not multiplied with each other.
-3. *Components* of the links, with the least document id of each.
+4. *Components* of the links, with the least document id of each.
 
-No link is lost: sets that share no signature can't link, and those that share one are either
-connected already or meet in a block.
+No link is lost: sets that share no column of step 2 can't link, and those that share one are
+either connected already or meet in a block. Equal sets are one class throughout. N-grams are
+named by 64-bit hashes; equal 32-bit numbers of step 1 only let a row remain that could go.
 
 Defined cases: null or wordless text has an empty set and links with nothing; fewer words than
 n make one n-gram; null ids get no component and are no one's least id (their rows still link);
@@ -34,16 +38,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparklog.llm.common import materialize, table
+from sparklog.llm.common import discard, materialize, table
 from sparklog.llm.graph import components
-from sparklog.llm.wordhash import mix, slices, word_hashes
+from sparklog.llm.wordhash import MULTIPLIER, mix, slices, word_hashes
 
-#: The larger size of a band over the smaller.
-BAND = 1.4
+#: Columns listed in one bucket, on average at most, and columns gathered before they are dealt.
+BUCKET_COLUMNS, FLUSH_COLUMNS = 1 << 22, 1 << 21
 #: Sets and n-grams in a chunk, on average at most; two chunks make a block.
 CHUNK_SETS, CHUNK_GRAMS = 1000, 500_000
 #: n-grams in more sets of a block than this are multiplied as dense columns, so many at once.
@@ -71,41 +74,31 @@ def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def band_edges(most: int = 1 << 40) -> list[int]:
-    edges = [1]
-    while edges[-1] < most:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
-
-
-def signatures(grams: np.ndarray, percent: int, edges: np.ndarray) -> np.ndarray:
-    """One number for each column block of each band that the set works in."""
-    size = len(grams)
-    if not size:
-        return np.zeros(0, dtype=np.uint64)
-    # as the smaller set: the band of its size; as the larger: from the band of its least partner
-    low = int(np.searchsorted(edges, -(-size * percent // 100), side="right")) - 1
-    own = int(np.searchsorted(edges, size, side="right")) - 1
-    out = []
-    for band in range(low, own + 1):
-        small = int(edges[band + 1]) - 1
-        both = small + small * 100 // percent
-        blocks = both - 2 * -(-both * percent // (100 + percent)) + 1
-        block = (grams >> np.uint64(33)) % np.uint64(blocks)
-        order = np.argsort(block, kind="stable")
-        found, starts = np.unique(block[order], return_index=True)
-        sums = np.zeros(blocks, dtype=np.uint64)
-        sums[found.astype(np.int64)] = np.add.reduceat(mix(grams)[order], starts)
-        place = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
-        out.append(mix(sums + mix(place)))
-    return np.concatenate(out)
-
-
-def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
-    """Two sums that name a set, and its size."""
-    c = [np.add.reduce(mix(x)) for x in sets]
-    d = [np.add.reduce(mix(x ^ np.uint64(0x5851F42D4C957F2D))) for x in sets]
-    return [*(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (c, d)), pa.array([len(x) for x in sets], pa.int64())]
+def spare(size: int, percent: int) -> int:
+    """How many of its n-grams a set may hold that a linked one does not."""
+    return size * (100 - percent) // 100
+
+
+def early(size: int, percent: int) -> int:
+    """How many of its first n-grams are looked up; all but spare() of them must be found."""
+    k = spare(size, percent)
+    return k + (k + 1) // 2 + 1
+
+
+def _spare(percent: int) -> Column:
+    """spare() of the column n."""
+    return F.expr(f"n * {100 - percent} div 100")
+
+
+def name_of(x: np.ndarray) -> tuple[int, int]:
+    """Two sums that name a set."""
+    return int(np.add.reduce(mix(x))), int(np.add.reduce(mix(x ^ np.uint64(0x5851F42D4C957F2D))))
+
+
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A number for each set, the same for equal sets."""
+    names = np.array([(*name_of(x), len(x)) for x in sets], dtype=np.uint64).reshape(-1, 3)
+    return mix(mix(mix(names[:, 0]) + names[:, 1]) + names[:, 2]).view(np.int64)
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -113,13 +106,73 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _sign(n: int, percent: int):
+def _name(n: int):
+    """(id, th, node, n) of every row; node is null for empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(ngram_sets(batch.column(2), n))
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes_of(sets), mask=sizes == 0), pa.array(sizes)], names=["id", "th", "node", "n"])
+
+    return run
+
+
+def _columns(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32-bit number of n-grams, as one number."""
+    spread = mix(grams ^ MULTIPLIER)
+    return ((spread >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (spread & np.uint64(0xFFFFFFFF))
+
+
+def _list_columns(n: int, percent: int, buckets: int):
+    """(bucket, columns): the early columns of all sets, packed; a column is listed twice at most."""
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        columns, counts = np.unique(_columns(np.concatenate(held), buckets), return_counts=True)
+        columns = np.repeat(columns, np.minimum(counts, 2))
+        found, starts = np.unique(columns >> np.uint64(32), return_index=True)
+        low = (columns & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        packed = [x.tobytes() for x in np.split(low, starts[1:])] if len(found) else []
+        return pa.record_batch([pa.array(found.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "columns"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(band_edges())
+        held, total = [], 0
         for batch in batches:
-            sets = list(ngram_sets(batch.column(1), n))
-            signed = _lists([signatures(x, percent, edges) for x in sets])
-            yield pa.record_batch([batch.column(0), *_sums(sets), signed], names=["id", "c", "d", "n", "sigs"])
+            for x in ngram_sets(batch.column(0), n):
+                s = len(x)
+                held.append(x[: early(s * 100 // percent, percent) + spare(s, percent)])
+                total += len(held[-1])
+                if total >= FLUSH_COLUMNS:
+                    yield pack(held)
+                    held, total = [], 0
+        if total:
+            yield pack(held)
+
+    return run
+
+
+def _listed_twice(bucket: pa.Table) -> pa.Table:
+    number = bucket.column("bucket")[0].as_py()
+    low = np.frombuffer(b"".join(x.as_py() for x in bucket.column("columns")), dtype=np.uint32)
+    columns, counts = np.unique(low, return_counts=True)
+    return pa.table({"col": pa.array((columns[counts > 1].astype(np.int64)) | (number << 32))})
+
+
+def _look_up(n: int, percent: int, buckets: int):
+    """(node, n, col) for the first columns of every set; once for equal sets of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x for x in ngram_sets(batch.column(0), n) if len(x)]
+            nodes, first = np.unique(nodes_of(sets), return_index=True)
+            kept = [sets[i][: early(len(sets[i]), percent)] for i in first]
+            sizes = np.array([len(sets[i]) for i in first], dtype=np.int64)
+            times = np.array([len(x) for x in kept], dtype=np.int64)
+            grams = np.concatenate([np.zeros(0, dtype=np.uint64), *kept])
+            yield pa.record_batch(
+                [pa.array(np.repeat(nodes, times)), pa.array(np.repeat(sizes, times)), pa.array(_columns(grams, buckets).view(np.int64))],
+                names=["node", "n", "col"],
+            )
 
     return run
 
@@ -128,7 +181,7 @@ def _collect_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(ngram_sets(batch.column(0), n))
-            yield pa.record_batch([*_sums(sets), _lists(sets)], names=["c", "d", "n", "grams"])
+            yield pa.record_batch([pa.array(nodes_of(sets)), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "n", "grams"])
 
     return run
 
@@ -143,77 +196,115 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.where(100 * overlap >= percent * (nx + np_ - overlap)).select("p", "x")
 
 
+def _named(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """id, th (the text's hash), node and n of every row, written."""
+    source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return materialize(source.mapInArrow(_name(n), source.select("id", "th").schema.add("node", "long").add("n", "long")), "rows")
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """key, n_shingles and component_id for every row of docs; t is percent / 100."""
-    schema = docs.select(F.col(key).alias("id")).schema.add("c", "long").add("d", "long").add("n", "long").add("sigs", T.ArrayType(T.LongType()))
-    signed = materialize(docs.select(key, text).mapInArrow(_sign(n, percent), schema), "signed")
-    # A class is a set of n-grams, named by two sums and its size; its node is their hash.
-    classes = materialize(
-        signed.where("n > 0").groupBy("c", "d", "n").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "classes"
-    )
-    keyed = signed.where("n > 0").select(F.xxhash64("c", "d", "n").alias("node"), F.explode("sigs").alias("sig"))
-    shared = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
-    members = materialize(keyed.join(shared, "sig").distinct(), "members")
-    linked = _link_members(docs, signed, members, key, text, n, percent)
-    by_class = classes.select(F.xxhash64("c", "d", "n").alias("node"), "least")
-    top = (
-        linked.join(by_class, "node")
-        .groupBy("comp")
-        .agg(F.min("least").alias("component_id"))
-        .join(linked, "comp")
-        .select("node", "component_id")
-    )
-    named = by_class.join(top, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    rows = signed.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.xxhash64("c", "d", "n")).alias("node"))
+    rows = _named(docs, key, text, n)
+    labels = _labels(docs, rows, key, text, n, percent)
+    least = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    # a label for each linked class; classes without one keep their own least id
+    linked = labels.join(least, "node").groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = labels.join(linked, "comp").select("node", "component_id")
+    named = least.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.join(named, "node", "left")
-    return out.select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    )
 
 
-def _link_members(docs: DataFrame, signed: DataFrame, members: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """node, comp of all members of shared signatures."""
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """Of every component one row: the least id, null first, and of equal ids the least text hash.
+
+    Rows with an empty set all stay, equal ones once. Only rows found twice are compared by text.
+    """
+    rows = _named(docs, key, text, n)
+    labels = _labels(docs, rows, key, text, n, percent)
+    whole = rows.where("node is not null").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = whole.groupBy("comp").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th")
+    first = first.unionByName(rows.where("node is null").select("id", "th")).distinct()
+    times = rows.groupBy("id", "th").agg(F.count("*").alias("_times")).withColumnsRenamed({"id": "_id", "th": "_hash"})
+    first = first.join(times, first["id"].eqNullSafe(times["_id"]) & (first["th"] == times["_hash"])).select("_id", "_hash", "_times")
+    first = materialize(first, "first")
+    columns = [F.col(f"_d.{c}").alias(c) for c in docs.columns]
+    held = docs.select(F.struct(*docs.columns).alias("_d"), F.xxhash64(text).alias("_th"))
+    held = held.join(first, held[f"_d.{key}"].eqNullSafe(first["_id"]) & (F.col("_th") == F.col("_hash")))
+    once = held.where("_times = 1").select(*columns)
+    return once.unionByName(held.where("_times > 1").select(*columns).dropDuplicates([key, text]))
+
+
+def _labels(docs: DataFrame, rows: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """node, comp of every set that can link with another."""
+    spark = docs.sparkSession
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_COLUMNS)
+    texts = docs.select(F.col(text).alias("_text"))
+    twice = texts.mapInArrow(_list_columns(n, percent, buckets), "bucket int, columns binary").groupBy("bucket").applyInArrow(_listed_twice, "col long")
+    first = texts.mapInArrow(_look_up(n, percent, buckets), "node long, n long, col long")
+    found = first.join(twice, "col").distinct().groupBy("node", "n").agg(F.count("*").alias("found"))
+    k = _spare(percent)
+    m = F.least(F.col("n"), k + F.floor((k + 1) / 2) + 1)
+    remaining = materialize(found.where(F.col("found") >= F.greatest(m - k, F.lit(1))).select("node"), "remaining")
+    one = rows.join(remaining, "node", "left_semi").groupBy("node").agg(F.min("id").alias("_id")).select("_id").distinct()
+    # Where ids are not unique this brings texts of other classes along, which the nodes tell apart.
+    held = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    held = held.join(one, held["_key"].eqNullSafe(one["_id"]), "left_semi").select("_text")
+    collected = held.mapInArrow(_collect_sets(n), "node long, n long, grams array<long>").join(remaining, "node", "left_semi")
+    sets = materialize(collected.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "sets")
+    members = materialize(_rarest(sets, percent), "members")
+    labels = _link_members(sets, members, percent)
+    discard(remaining, sets, members)
+    return labels
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, node): the rarest columns of each set that others list as well."""
+    each = sets.select("node", "n", F.explode("grams").alias("sig"))
+    counted = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(counted, "sig").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("cols"))
+    wanted = _spare(percent) + 1 - (F.col("n") - F.size("cols"))  # columns of one row come first
+    kept = ranked.where(wanted > 0).select("node", F.explode(F.slice("cols", F.lit(1), wanted.cast("int"))).alias("c"))
+    kept = kept.select("c.sig", "node")
+    shared = kept.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1").select("sig")
+    return kept.join(shared, "sig")
+
+
+def _link_members(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """node, comp of all members of shared columns."""
     nodes = materialize(members.select("node").distinct(), "nodes")
-    none = nodes.withColumn("comp", F.col("node"))
     if nodes.isEmpty():
-        return none
-    # one row with its text for each node
-    one = (
-        signed.where("n > 0")
-        .select(F.xxhash64("c", "d", "n").alias("node"), "id")
-        .join(nodes, "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min("id").alias("id"))
-    )
-    # Where ids are not unique this brings texts of other classes along, which the sums tell apart.
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    wanted = texts.join(one, texts["_key"].eqNullSafe(one["id"]), "left_semi").select("_text")
-    found = wanted.mapInArrow(_collect_sets(n), "c long, d long, n long, grams array<long>")
-    found = found.select(F.xxhash64("c", "d", "n").alias("node"), "grams").join(nodes, "node", "left_semi")
-    sets = materialize(found.dropDuplicates(["node"]), "sets")
+        return nodes.withColumn("comp", F.col("node"))
     sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
     degree = members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("degree"))
-    members = materialize(members.join(degree, "node"), "members")
     rank = F.struct(-F.col("degree"), F.col("node"))
-    leaders = members.groupBy("sig").agg(F.min(rank).alias("leader"))
-    central = members.join(leaders, "sig").groupBy("node").agg(F.min("leader").alias("leader"))
+    ranked = members.join(degree, "node")
+    leaders = ranked.groupBy("sig").agg(F.min(rank).alias("leader"))
+    central = ranked.join(leaders, "sig").groupBy("node").agg(F.min("leader").alias("leader"))
     pairs = central.select(F.col("leader.node").alias("p"), F.col("node").alias("x")).where("p != x")
     links = materialize(_linked(pairs, sets, percent), "links")
     labels = components(links, nodes, "p", "x")
     state = members.join(labels, "node").select("sig", "node", "comp")
     parts = state.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub"))
-    open_ = materialize(parts.where("lo != hi").select("sig", "hub"), "open")
-    if open_.isEmpty():
-        return labels
+    open_ = parts.where("lo != hi").select("sig", "hub")
     spokes = state.join(open_, "sig").select(F.col("node").alias("p"), F.col("hub").alias("x"))
     held = materialize(spokes.distinct(), "spokes")
+    if held.isEmpty():
+        return labels
     clusters = components(held, held.select("p"), "p", "x").withColumnRenamed("comp", "cluster")
     forest = materialize(_block_products(clusters.join(labels, "node"), sets, percent), "forest")
-    return components(links.unionByName(forest), nodes, "p", "x")
+    out = components(links.unionByName(forest), nodes, "p", "x")
+    discard(links, forest, held, labels, clusters)
+    return out
 
 
 def _block_products(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(p, x), a forest of the links between different parts of each cluster, from (node, cluster, comp)."""
-    sized = materialize(nodes.join(sets, "node"), "clustered")
-    by_part = sized.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum(F.size("grams")).alias("g"))
+    sized = nodes.join(sets.select("node", "n"), "node")
+    by_part = sized.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("g"))
     # a large part has chunks of its own; the small ones of a cluster share theirs
     part = F.when(F.col("m") >= CHUNK_SETS // 2, F.col("comp"))
     by_chunk = by_part.groupBy("cluster", part.alias("part")).agg(F.sum("m").alias("m"), F.sum("g").alias("g"))
@@ -224,20 +315,24 @@ def _block_products(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     same = lambda a, b: (a["cluster"] == b["cluster"]) & a["part"].eqNullSafe(b["part"])
     placed = sized.join(of_part, (sized["cluster"] == of_part["c"]) & (sized["comp"] == of_part["q"])).drop("c", "q")
     placed = placed.join(chunks, same(placed, chunks)).select(
-        placed["cluster"], placed["part"], "node", "grams", F.pmod(F.xxhash64("node"), "chunks").alias("k")
+        placed["cluster"], placed["part"], "node", "n", F.pmod(F.xxhash64("node"), "chunks").alias("k")
     )
-    listed = chunks.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    placed = materialize(placed, "placed")
     chunk = F.struct("part", "k")
-    left = listed.select("cluster", chunk.alias("a"))
-    pairs = left.join(listed.select("cluster", chunk.alias("b")), "cluster").where(
-        (F.col("a") <= F.col("b")) & (F.col("a.part").isNull() | ~F.col("a.part").eqNullSafe(F.col("b.part")))
+    listed = placed.groupBy("cluster", "part", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left = listed.select("cluster", chunk.alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    pairs = left.join(listed.select("cluster", chunk.alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "cluster").where(
+        (F.col("a") <= F.col("b"))
+        & (F.col("a.part").isNull() | ~F.col("a.part").eqNullSafe(F.col("b.part")))
+        & (100 * F.col("a_high") >= percent * F.col("b_low"))
+        & (100 * F.col("b_high") >= percent * F.col("a_low"))
     )
     pairs = pairs.withColumn("block", F.xxhash64("cluster", "a", "b"))
     sides = pairs.select("cluster", "block", F.explode(F.array_distinct(F.array("a", "b"))).alias("s")).select(
         F.col("cluster").alias("c"), "block", F.col("s.part").alias("sp"), F.col("s.k").alias("sk")
     )
     on = (placed["cluster"] == sides["c"]) & placed["part"].eqNullSafe(sides["sp"]) & (placed["k"] == sides["sk"])
-    blocks = placed.join(sides, on).select("block", "node", "grams")
+    blocks = placed.join(sides, on).select("block", "node").join(sets.select("node", "grams"), "node")
     return blocks.groupBy("block").applyInArrow(_product(percent), "p long, x long")
 
 
