@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import WORD_CHAR, materialize, table
+from sparklog.llm.common import materialize, table
 from sparklog.llm.decontam import drop_leaks
 from sparklog.llm.line_dedup import dedup_lines
-from sparklog.llm.ngram_join import similar_components
+from sparklog.llm.ngram_join import keep_one
 from sparklog.llm.packing import pack
 from sparklog.llm.quality import cutoffs, judge, measure, sketch
 
@@ -24,19 +24,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go; so does a document that is left without a word by that."""
-    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD_CHAR))
+    """Repeated runs of lines go; so does a document that is left without a line with a word by that.
+
+    Whether one is left is told by counts, so that no text is built for a filter.
+    """
+    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_full")))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at five-word shingles and similarity 0.8, the least id stays.
+    """Of documents linked at five-word shingles and similarity 0.8, the one with the least id stays.
 
     Rows that share an id are told apart by their texts; of equal rows one stays.
     """
-    found = similar_components(docs, n=5, percent=80)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return keep_one(docs, n=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
