@@ -2,23 +2,25 @@
 
 Texts are lower-cased runs of letters and digits; shingles are five words, weighted by how few
 benchmark items hold them (a shingle of no item weighs as much as one of a single item). A
-document leaks an item if one of its windows of the item's size has a weighted Jaccard
-similarity of 0.8 or more with it, over the sets of shingles.
+document leaks an item if one of its windows of the item's size (cut where the text ends) has a
+weighted Jaccard similarity of 0.8 or more with it, over the sets of shingles.
 
-1. *Windows.* Only a window that shares shingles with an item of its size can be similar to it,
-   and the shared ones must weigh 0.8 of the item. So windows are laid where shared shingles
-   put the item, give or take as many words as the threshold lets an edit shift it.
+1. *Windows.* Only a window that shares shingles weighing 0.8 of an item of its size can be
+   similar to it, in whatever order they stand. A document's shared shingles are grouped by tiles
+   of the item's size, each with its neighbour, so that every window lies in one group; of a
+   group's starts those with enough shared weight in their window are taken, and no others.
 2. *SimHash.* Windows and items get 64-bit fingerprints of their weighted shingles.
-3. *Multi-index.* Two fingerprints within RADIUS bits agree to within RADIUS // 8 bits in one of
-   eight blocks of eight bits, so the index lists every block value that near each item's, and
-   looking up a window's eight blocks finds every item within the radius. At similarity 0.8
-   fingerprints differ in ten bits on average, so that the radius is over three deviations off.
+3. *Multi-index.* Two fingerprints within RADIUS bits agree to within RADIUS // 4 bits in one of
+   four blocks of 16 bits, so the index lists every block value that near each item's, and
+   looking up a window's four blocks finds every item of its size within the radius. An unrelated
+   item meets a window in about one lookup of 23. At similarity 0.8 fingerprints differ in ten
+   bits on average, so that the radius is nearly two deviations off, more for closer pairs.
 4. *Verification* by the exact weighted similarity.
 
 Defined cases: null text has no words; items of fewer than five words are too short to be
 evidence and match nothing; documents with one id and different texts are told apart by their
 texts' hashes, equal rows are reported once; equal items are reported each; a null id is kept as
-it is; empty tables give an empty result; other columns are ignored.
+it is; empty tables give an empty result; other columns are ignored, and drop_leaks() keeps them.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from sparklog.llm.common import materialize, same_row, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 20
-BLOCKS = 8
+RADIUS = 15
+BLOCKS = 4
 #: Shingles of the benchmark up to which its tables are broadcast; larger ones are shuffled.
 BROADCAST_SHINGLES = 500_000
 
@@ -64,6 +66,21 @@ def weight(n_items: int, df: int) -> int:
     return int(100 * (1 + log(n_items / df)) + 0.5)
 
 
+def _places(hits: DataFrame) -> DataFrame:
+    """id, th and the (start, size) of every window whose shared shingles may weigh enough for an item."""
+    n = F.col("size") - (SHINGLE - 1)
+    tile = F.expr(f"p div (size - {SHINGLE - 1})").cast("int")
+    tiled = hits.select("*", F.explode(F.array(tile, tile + 1)).alias("tile")).where("tile > 0")
+    groups = tiled.groupBy("id", "th", "item", "ih", "size", "weight", "tile").agg(F.collect_set(F.struct("p", "g", "w")).alias("hits"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    least = THRESHOLD * F.col("weight")
+    likely = groups.where(total(F.array_distinct(F.transform("hits", lambda x: F.struct(x["g"], x["w"].alias("w"))))) >= least)
+    inside = lambda s: F.filter("hits", lambda x: (x["p"] >= s) & (x["p"] < s + n))
+    starts = F.filter(F.sequence((F.col("tile") - 1) * n, F.col("tile") * n - 1), lambda s: total(inside(s)) >= least)
+    places = likely.select("id", "th", "size", F.explode(starts).alias("start"))
+    return places.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """key, _th (the text's hash), item, start_word and similarity: the best window of each pair."""
     bench = items.select(F.col(item).alias("item"), F.col(text).alias("t")).distinct()
@@ -74,15 +91,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     n_items = max(1, bench.count())
     heaviest = weight(n_items, 1)
     weights = counts.select("g", F.round(100 * (1 + F.log(F.lit(float(n_items)) / F.col("df")))).cast("long").alias("w"))
-    entries = materialize(listed.join(weights, "g"), "bench_shingles")
-    small = entries.count() <= BROADCAST_SHINGLES
-    near = F.broadcast if small else (lambda df: df)
+    weights = materialize(weights, "bench_weights")
+    each = listed.select("item", "ih", "size", "g").distinct().join(weights, "g")
     sets = materialize(
-        entries.dropDuplicates(["item", "ih", "g"])
-        .groupBy("item", "ih", "size")
-        .agg(F.collect_list(F.struct("g", "w")).alias("gs"), F.sum("w").alias("weight"), fingerprint().alias("code")),
+        each.groupBy("item", "ih", "size").agg(F.collect_list(F.struct("g", "w")).alias("gs"), F.sum("w").alias("weight"), fingerprint().alias("code")),
         "bench_items",
     )
+    entries = materialize(sets.select("item", "ih", "size", "weight", F.explode("gs").alias("x")).select("item", "ih", "size", "weight", "x.g", "x.w"), "bench_shingles")
+    near = F.broadcast if entries.count() <= BROADCAST_SHINGLES else (lambda df: df)
 
     source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     spread = (
@@ -90,20 +106,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         .select("id", "th", shingles("words").alias("gs"))
         .select("id", "th", F.posexplode_outer("gs").alias("p", "g"))  # the plain one would evaluate gs in a filter as well
     )
-    hits = spread.join(near(entries), "g").groupBy("id", "th", "item", "ih", "size").agg(
-        F.collect_set(F.col("p") - F.col("q")).alias("offsets"), F.collect_set(F.struct("g", "w")).alias("shared")
-    )
-    whole = sets.select(F.col("item").alias("i2"), F.col("ih").alias("h2"), "weight")
-    shared = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    likely = hits.join(near(whole), hits["item"].eqNullSafe(F.col("i2")) & (F.col("ih") == F.col("h2"))).where(
-        shared >= THRESHOLD * F.col("weight")
-    )
-    slack = F.ceil((F.col("size") - (SHINGLE - 1)) * (1 - THRESHOLD) / (1 + THRESHOLD)).cast("int")
-    # a document that lacks the words before is compared from its first one
-    moved = lambda d: F.transform(F.sequence(d - slack, d + slack), lambda s: F.greatest(s, F.lit(0)))
-    starts = F.array_distinct(F.flatten(F.transform("offsets", moved)))
-    places = likely.select("id", "th", "size", F.explode(starts).alias("start"))
-    places = materialize(places.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("places")), "places")
+    places = materialize(_places(spread.join(near(entries), "g")), "places")
 
     held = source.join(places, same_row(source, places, ["id", "th"])).select(source["id"], source["th"], "t", "places")
     held = held.groupBy("id", "th").agg(F.first("t").alias("t"), F.first("places").alias("places"))
@@ -124,7 +127,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         ),
         "windows",
     )
-    found = _within_radius(windows, sets, near)
+    found = _within_radius(windows, sets)
     both = F.aggregate(F.filter("gs", lambda x: F.array_contains("own", x["g"])), F.lit(0).cast("long"), lambda a, x: a + x["w"])
     alike = found.withColumn("both", both).withColumn("similarity", F.col("both") / (F.col("wide") + F.col("weight") - F.col("both")))
     alike = alike.where(F.col("similarity") >= THRESHOLD)
@@ -138,26 +141,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     )
 
 
-def _within_radius(windows: DataFrame, sets: DataFrame, near) -> DataFrame:
+def _within_radius(windows: DataFrame, sets: DataFrame) -> DataFrame:
     """Windows with the items of their size whose fingerprints are within RADIUS bits."""
-    block = lambda code, b: F.shiftrightunsigned(F.col(code), 8 * b).bitwiseAND(F.lit(255)).cast("int")
-    values = F.sequence(F.lit(0), F.lit(255))
+    bits = 64 // BLOCKS
+    block = lambda code, b: F.shiftrightunsigned(F.col(code), bits * b).bitwiseAND(F.lit(2**bits - 1)).cast("int")
+    masks = ",".join(str(m) for m in range(2**bits) if m.bit_count() <= RADIUS // BLOCKS)
+    masks = F.split(F.lit(masks), ",").cast("array<int>")
 
     def around(b: int) -> Column:
         """Block b of the item's code and the values near it."""
-        close = F.filter(values, lambda v: F.bit_count(v.bitwiseXOR(block("code", b))) <= RADIUS // BLOCKS)
-        return F.transform(close, lambda v: F.struct(F.lit(b).alias("b"), v.alias("v")))
+        return F.transform(masks, lambda m: F.struct(F.lit(b).alias("b"), m.bitwiseXOR(block("code", b)).alias("v")))
 
-    listed = F.explode(F.flatten(F.array(*map(around, range(BLOCKS))))).alias("x")
+    listed = F.explode(F.concat(*map(around, range(BLOCKS)))).alias("x")
     index = sets.select("item", "ih", "size", F.col("code").alias("item_code"), listed)
     index = index.select("item", "ih", "size", "item_code", "x.b", "x.v")
     asked = windows.select(
         "id", "th", "start", "size", "code",
         F.explode(F.array(*(F.struct(F.lit(b).alias("b"), block("code", b).alias("v")) for b in range(BLOCKS)))).alias("x"),
     ).select("id", "th", "start", "size", "code", "x.b", "x.v")
-    pairs = asked.join(near(index), ["size", "b", "v"]).where(
-        F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS
-    )
+    pairs = asked.join(index, ["size", "b", "v"]).where(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS)
     pairs = pairs.select("id", "th", "start", "size", "item", "ih").distinct()
     back = windows.select(*(F.col(c).alias(f"w_{c}") for c in ("id", "th", "start", "size")), "wide", "own")
     on = pairs["id"].eqNullSafe(back["w_id"])
@@ -165,14 +167,15 @@ def _within_radius(windows: DataFrame, sets: DataFrame, near) -> DataFrame:
         on = on & (pairs[c] == back[f"w_{c}"])
     full = pairs.join(back, on).drop("w_id", "w_th", "w_start", "w_size")
     what = sets.select(F.col("item").alias("s_item"), F.col("ih").alias("s_ih"), "gs", "weight")
-    return full.join(near(what), full["item"].eqNullSafe(F.col("s_item")) & (full["ih"] == F.col("s_ih"))).drop("s_item", "s_ih")
+    return full.join(what, full["item"].eqNullSafe(F.col("s_item")) & (full["ih"] == F.col("s_ih"))).drop("s_item", "s_ih")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those that leak an item."""
-    hashed = docs.withColumn("_th", F.xxhash64(text))
-    leaks = find_leaks(docs, items, key, text).select(key, "_th").distinct()
-    return hashed.join(leaks, same_row(hashed, leaks, [key, "_th"]), "left_anti").drop("_th")
+    held = docs.select(F.struct(*docs.columns).alias("_d"), F.xxhash64(text).alias("_th"))
+    leaks = find_leaks(docs, items, key, text).select(F.col(key).alias("_id"), F.col("_th").alias("_hash")).distinct()
+    on = held[f"_d.{key}"].eqNullSafe(leaks["_id"]) & (held["_th"] == leaks["_hash"])
+    return held.join(leaks, on, "left_anti").select(*(F.col(f"_d.{c}").alias(c) for c in docs.columns))
 
 
 def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

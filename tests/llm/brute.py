@@ -130,3 +130,31 @@ def joined(spans):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaks(docs, items, shingle=5):
+    """(doc, item) -> the greatest weighted similarity of a window of the item's size, by all windows.
+
+    Only pairs of 0.5 or more; docs and items are (id, text).
+    """
+    from math import log
+
+    cut = lambda t: [x for x in re.split(r"[^\w]+|_+", (t or "").lower()) if x]
+    grams = lambda w: [tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)]
+    listed = [(i, t, len(cut(t)), set(grams(cut(t)))) for i, t in {(i, t) for i, t in items if t} if len(cut(t)) >= shingle]
+    df = Counter(g for _, _, _, s in listed for g in s)
+    weight = lambda g: int(100 * (1 + log(max(1, len(listed)) / df.get(g, 1))) + 0.5)
+    out = {}
+    for d, t in docs:
+        gs = grams(cut(t))
+        known = {g for g in gs if g in df}
+        for i, _, size, s in listed:
+            if sum(map(weight, known & s)) < 0.5 * sum(map(weight, s)):
+                continue
+            for start in range(len(gs)):
+                window = set(gs[start : start + size - shingle + 1])
+                both = sum(map(weight, window & s))
+                alike = both / (sum(map(weight, window)) + sum(map(weight, s)) - both)
+                if alike >= 0.5 and alike > out.get((d, i), 0):
+                    out[d, i] = alike
+    return out
