@@ -6,20 +6,22 @@ everything would grow with the corpus, and sending every shard to every document
 square of it, so shards are cut by content and each meets only the text that can match it:
 
 1. Every window of ``run`` words has a minimizer, the least hash of its runs of GRAM words.
-   Consecutive windows with one minimizer make a segment. Equal windows have equal minimizers,
-   so a window repeats only among the segments of its minimizer.
-2. Minimizers are counted with the least and greatest hash of their segments. A minimizer found
-   once has no repeated window; one with a single segment text, found twice or more, has only
-   repeated ones. What remains is ambiguous: the ends of shared passages and edited copies.
-3. Ambiguous segments are pre-aggregated by content, with counts, and dealt by minimizer to
-   reference shards of bounded size, each with its suffix automaton. A minimizer with very many
-   places is not dealt as one: its windows are counted each by their own hash instead.
-4. Spans are merged and removed. Repeats inside one text are found while it is first read.
+   Consecutive windows with one minimizer make a segment, of as many windows as can hold one
+   place of it. Equal windows have equal minimizers, so a window repeats only among the segments
+   of its minimizer. A minimizer with one segment that holds it in one place has no repeats.
+2. The segments of all other minimizers are references, pre-aggregated by content with the number
+   of their places. They are dealt by minimizer to shards of bounded size. A minimizer with more
+   words than that is dealt by its windows' two least hashes, then four and so on; with all
+   hashes of a window, equal ones are one content, so that the parts become small.
+3. Each shard's automaton gets its references with their numbers, and the matching statistics of
+   each content give the windows that occur twice or more. A minimizer whose segments are n > 1
+   places of one content needs none: its automaton were a chain in which every state counts n.
+4. Spans go to the places of their content, and are merged and removed.
 
 Defined cases: null text has no words; fewer than ``run`` words: nothing is removed; the id may
 be null or repeat: each row is a document, so two equal rows with ``run`` words or more are
 copies and lose all words; an empty table gives an empty table; other columns are ignored.
-Windows are compared by 64-bit hashes.
+Contents are told apart by their minimizer and a 64-bit hash, words by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -31,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import materialize, same_row, table
+from sparklog.llm.common import discard, materialize, same_row, table
 from sparklog.llm.wordhash import INVERSE, mix, powers, rolled, slices, word_hashes
 
 #: Words in the runs whose least hash is a window's minimizer.
 GRAM = 8
-#: Places from which a minimizer's windows are counted one by one.
-HOT = 2000
-#: Words of a reference shard, on average.
-SHARD_WORDS = 20_000
+#: Words of a reference shard, on average, and of one key in it at most.
+SHARD_WORDS, KEY_WORDS = 20_000, 40_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -52,96 +52,96 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments(words: np.ndarray, doc: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
-    """Minimizer, content hash, first and last window of each segment of the words."""
+    """Minimizer, content hash, first and last window of each segment of the words, and whether
+    the segment holds its minimizer in two places."""
     if len(words) < run:
-        return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=np.int64),) * 2
-    least = sliding_min(rolled(words, GRAM), run - GRAM + 1)
+        return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=bool),)
+    grams, most = rolled(words, GRAM), run - GRAM + 1
+    least = sliding_min(grams, most)
     n = len(least)
     valid = doc[:n] == doc[run - 1 :]
     joined = valid[1:] & valid[:-1] & (least[1:] == least[:-1]) & (doc[1:n] == doc[: n - 1])
     first = np.flatnonzero(valid & ~np.concatenate([[False], joined]))
     last = np.flatnonzero(valid & ~np.concatenate([joined, [False]]))
+    parts = -(-(last - first + 1) // most)
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, last = np.repeat(first, parts) + nth * most, np.repeat(last, parts)
+    last = np.minimum(last, first + most - 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers(len(words)), dtype=np.uint64)])
     content = mix((sums[last + run] - sums[first]) * powers(n, INVERSE)[first] + (last - first).astype(np.uint64))
-    return least[first], content, first, last
+    held = last - first + most
+    starts = np.cumsum(held) - held
+    at = np.arange(int(held.sum())) - np.repeat(starts - first, held)
+    places = np.add.reduceat((grams[at] == np.repeat(least[first], held)).astype(np.int64), starts) if len(first) else held
+    return least[first], content, first, last, places > 1
 
 
 def _read(run: int):
-    """(id, th, m, s, a, b) of every segment; m is null for windows that repeat inside their text."""
+    """(id, th, m, s, a, b, twice) of every segment."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, _, data, bounds in slices(batch.column(2)):
                 words, _, _, at = word_hashes(data, bounds)
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                m, s, first, last = segments(words, doc, run)
-                here = doc[first] if len(first) else first
-                windows = rolled(words, run)
-                own_doc, own_a, own_b = [], [], []
-                for i in range(len(at) - 1):
-                    w = windows[at[i] : max(at[i + 1] - run + 1, at[i])]
-                    if len(w) > 1:
-                        _, back, count = np.unique(w, return_inverse=True, return_counts=True)
-                        if len(count) < len(w):
-                            twice = np.flatnonzero(count[back] > 1)
-                            cut = np.flatnonzero(np.diff(twice) > 1)
-                            own_a.append(twice[np.concatenate([[0], cut + 1])])
-                            own_b.append(twice[np.concatenate([cut, [len(twice) - 1]])])
-                            own_doc.append(np.full(len(own_a[-1]), i))
-                row = np.concatenate([here, *own_doc]).astype(np.int64)
-                a = np.concatenate([first - at[here], *own_a]).astype(np.int32)
-                b = np.concatenate([last - at[here], *own_b]).astype(np.int32)
-                own = np.arange(len(row)) >= len(here)
-                pad = np.zeros(len(row) - len(here), dtype=np.uint64)
+                m, s, first, last, twice = segments(words, doc, run)
+                row = doc[first] if len(first) else first
                 take = pa.array(row + start)
-                yield pa.record_batch(
-                    [
-                        batch.column(0).take(take),
-                        batch.column(1).take(take),
-                        pa.array(np.concatenate([m, pad]).view(np.int64), mask=own),
-                        pa.array(np.concatenate([s, pad]).view(np.int64), mask=own),
-                        pa.array(a),
-                        pa.array(b),
-                    ],
-                    names=["id", "th", "m", "s", "a", "b"],
-                )
+                a, b = ((x - at[row]).astype(np.int32) for x in (first, last))
+                columns = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (m.view(np.int64), s.view(np.int64), a, b, twice))]
+                yield pa.record_batch(columns, names=["id", "th", "m", "s", "a", "b", "twice"])
 
     return go
 
 
-def _ambiguous(run: int):
-    """(id, th, m, s, a, words) of the segments to compare; of hot ones, the windows: m = s = hash."""
+_REFERENCE = "key long, t long, n long, words array<long>"
+
+
+def _references(run: int):
+    """(key, t, n, words) of the segments that each text lends as references."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(3).to_pylist()
+            lent = batch.column(1).to_pylist()
             out = []
-            for start, end, data, bounds in slices(batch.column(2)):
+            for start, end, data, bounds in slices(batch.column(0)):
                 words, _, _, at = word_hashes(data, bounds)
+                words = words.view(np.int64)
                 for i in range(start, end):
                     w = words[at[i - start] : at[i - start + 1]]
-                    for x in marks[i]:
-                        if x["kind"] == "check":
-                            out.append((i, x["m"], x["s"], x["a"], w[x["a"] : x["b"] + run].view(np.int64)))
-                        elif x["kind"] == "hot":
-                            for k, h in enumerate(rolled(w[x["a"] : x["b"] + run], run).view(np.int64).tolist()):
-                                out.append((i, h, h, x["a"] + k, None))
-            take = pa.array([r[0] for r in out], pa.int64())
+                    out += [(x["m"], x["s"], x["n"], w[x["a"] : x["b"] + run]) for x in lent[i]]
             yield pa.record_batch(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array([r[1] for r in out], pa.int64()),
-                    pa.array([r[2] for r in out], pa.int64()),
-                    pa.array([r[3] for r in out], pa.int32()),
-                    pa.array([r[4] for r in out], pa.list_(pa.int64())),
-                ],
-                names=["id", "th", "m", "s", "a", "words"],
+                [*(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] for r in out], pa.list_(pa.int64()))],
+                names=["key", "t", "n", "words"],
             )
 
     return go
 
 
+def _recut(run: int, least: int):
+    """(key, t, shift, key2, t2, n, words): each content in runs of windows with equal ``least`` hashes."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, t, n, held in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                words = np.array(held, dtype=np.int64)
+                grams = rolled(words.view(np.uint64), GRAM)
+                names = [mix(np.unique(grams[i : i + run - GRAM + 1])[:least]) for i in range(len(words) - run + 1)]
+                names = [int(np.add.reduce(mix(x + np.arange(len(x), dtype=np.uint64)))) for x in names]
+                first = 0
+                for i in range(1, len(names) + 1):
+                    if i == len(names) or names[i] != names[first]:
+                        part = words[first : i + run - 1]
+                        t2 = rolled(part.view(np.uint64), len(part)).view(np.int64)[0]
+                        out.append((key, t, first, np.uint64(names[first]).astype(np.int64), t2, n, part))
+                        first = i
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["key", "t", "shift", "key2", "t2", "n", "words"])
+
+    return go
+
+
 class SuffixAutomaton:
     """The suffix automaton of several sequences, with how often each state's strings occur."""
 
@@ -205,22 +205,27 @@ class SuffixAutomaton:
 
 
 def _match(run: int):
-    """A reference shard's automaton, against its segments: (m, s, hits)."""
+    """A reference shard's automaton, against its contents: (key, t, hits), hits in runs (a, b)."""
 
     def go(shard: pa.Table) -> pa.Table:
-        rows = shard.select(["m", "s", "words", "n"]).to_pylist()
+        rows = {(x["key"], x["t"]): x for x in shard.select(["key", "t", "n", "words"]).to_pylist()}
         automaton = SuffixAutomaton()
-        for x in rows:
+        for x in rows.values():
             automaton.add(x["words"], x["n"])
         automaton.finish()
-        found = [(x["m"], x["s"], hits) for x in rows if (hits := automaton.repeated(x["words"], run))]
-        return pa.table(
-            {
-                "m": pa.array([x[0] for x in found], pa.int64()),
-                "s": pa.array([x[1] for x in found], pa.int64()),
-                "hits": pa.array([x[2] for x in found], pa.list_(pa.int32())),
-            }
-        )
+        found = []
+        for (key, t), x in rows.items():
+            hits = automaton.repeated(x["words"], run)
+            runs = []
+            for h in hits:
+                if runs and runs[-1]["b"] == h - 1:
+                    runs[-1]["b"] = h
+                else:
+                    runs.append({"a": h, "b": h})
+            if runs:
+                found.append((key, t, runs))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
+        return pa.table({c: pa.array([x[i] for x in found], kinds[i]) for i, c in enumerate(("key", "t", "hits"))})
 
     return go
 
@@ -252,61 +257,51 @@ def _remove(run: int):
     return go
 
 
-def _spans(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 35) -> DataFrame:
     """key, n_words, n_removed and kept, the words that stay, joined by single spaces."""
     if run < GRAM:
         raise ValueError(f"run must be {GRAM} words or more")
     source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    read = source.mapInArrow(_read(run), f"id {id_type}, th long, m long, s long, a int, b int")
-    segs = materialize(read, "segments")
-    counted = segs.where("m is not null").groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    shared = counted.where("n > 1").select(
-        "m", F.when(F.col("lo") == F.col("hi"), "all").when(F.col("n") > HOT, "hot").otherwise("check").alias("kind")
-    )
-    found = segs.where("m is not null").join(shared, "m")
-    own = segs.where("m is null").withColumn("kind", F.lit("all"))
-    marks = materialize(found.unionByName(own), "marks")
-    by_row = marks.groupBy("id", "th").agg(
-        F.collect_list(F.struct("a", "b", "m", "s", "kind")).alias("segs"), F.max(F.col("kind") != "all").alias("open")
-    )
-    joined = source.join(by_row, same_row(source, by_row, ["id", "th"]), "left").select(source["*"], "segs", "open")
-    # the text moves once; from here on only texts with ambiguous segments do
-    known = F.transform("segs", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    sure = F.transform(F.filter("segs", lambda x: x["kind"] == "all"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    unsure = F.filter("segs", lambda x: x["kind"] != "all")
-    is_open = F.coalesce(F.col("open"), F.lit(False))
-    split = materialize(
-        joined.select("id", "th", "text", F.when(is_open, sure).otherwise(known).alias("spans"), F.when(is_open, unsure).alias("unsure")), "texts"
-    )
-    pending = split.where("unsure is not null")
-    hits = _hits(pending, run, id_type)
-    more = hits.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("more"))
-    late = pending.join(more, same_row(pending, more, ["id", "th"]), "left").select(
-        pending["id"], "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<a:int,b:int>>"))).alias("spans")
-    )
-    every = split.where("unsure is null").select("id", "text", "spans").unionByName(late)
-    done = every.mapInArrow(_remove(run), f"id {id_type}, n_words long, n_removed long, kept string")
+    segs = materialize(source.mapInArrow(_read(run), f"id {id_type}, th long, m long, s long, a int, b int, twice boolean"), "segments")
+    counted = segs.groupBy("m").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    shared = counted.where("n > 1 or twice").select("m", F.expr("n > 1 and lo = hi").alias("chain"))
+    places = materialize(segs.join(shared, "m").drop("twice"), "places")
+    discard(segs)
+    contents = places.where("not chain").groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a", "b")).alias("lender"))
+    lent = contents.select("lender.id", "lender.th", F.struct("lender.a", "lender.b", "m", "s", "n").alias("x"))
+    lent = materialize(lent.groupBy("id", "th").agg(F.collect_list("x").alias("lent")), "lent")
+    lenders = source.join(lent, same_row(source, lent, ["id", "th"])).select("text", "lent")
+    references = materialize(lenders.mapInArrow(_references(run), _REFERENCE), "references")
+    hits = _hits(references, run)
+    at = places.where("not chain").join(hits, (places["m"] == hits["key"]) & (places["s"] == hits["t"])).select("id", "th", "a", "hits")
+    moved = F.transform("hits", lambda h: F.struct((h["a"] + F.col("a")).alias("a"), (h["b"] + F.col("a")).alias("b")))
+    whole = places.where("chain").select("id", "th", F.array(F.struct("a", "b")).alias("runs"))
+    spans = at.select("id", "th", moved.alias("runs")).unionByName(whole).groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    joined = source.join(spans, same_row(source, spans, ["id", "th"]), "left").select(source["id"], "text", "spans")
+    done = joined.mapInArrow(_remove(run), f"id {id_type}, n_words long, n_removed long, kept string")
     return done.withColumnRenamed("id", key)
 
 
-def _hits(pending: DataFrame, run: int, id_type: str) -> DataFrame:
-    """(id, th, a, b), the spans of repeated windows in ambiguous segments."""
-    cut = pending.select("id", "th", "text", "unsure").mapInArrow(_ambiguous(run), f"id {id_type}, th long, m long, s long, a int, words array<long>")
-    cut = materialize(cut, "ambiguous")
-    distinct = cut.groupBy("m", "s").agg(F.count("*").alias("n"), F.first("words").alias("words"))
-    distinct = materialize(distinct, "references")
-    total = distinct.agg(F.sum(F.size("words"))).first()[0] or 0
-    shards = max(1, int(total) // SHARD_WORDS)
-    dealt = distinct.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    matched = dealt.groupBy("shard").applyInArrow(_match(run), "m long, s long, hits array<int>")
-    single = distinct.where("words is null and n > 1").select("m", "s", F.array(F.lit(0)).alias("hits"))
-    at = matched.unionByName(single)
-    return cut.select("id", "th", "m", "s", "a").join(at, ["m", "s"]).select("id", "th", F.explode(F.transform("hits", lambda h: h + F.col("a"))).alias("a")).withColumn("b", F.col("a"))
+def _hits(references: DataFrame, run: int, least: int = 1) -> DataFrame:
+    """(key, t, hits): the repeated windows of each content, from its shard's automaton."""
+    sizes = references.groupBy("key").agg(F.sum(F.size("words")).alias("size"))
+    large = sizes.where(F.col("size") > KEY_WORDS).select("key") if least < run - GRAM + 1 else None
+    if large is not None and not large.isEmpty():
+        large = materialize(large, "large")
+        cuts = references.join(large, "key", "left_semi").select("key", "t", "n", "words")
+        cuts = materialize(cuts.mapInArrow(_recut(run, 2 * least), "key long, t long, shift int, key2 long, t2 long, n long, words array<long>"), "cuts")
+        parts = cuts.groupBy("key2", "t2").agg(F.sum("n").alias("n"), F.first("words").alias("words")).withColumnsRenamed({"key2": "key", "t2": "t"})
+        found = _hits(materialize(parts, "parts"), run, 2 * least).withColumnsRenamed({"key": "key2", "t": "t2"})
+        moved = F.transform("hits", lambda h: F.struct((h["a"] + F.col("shift")).alias("a"), (h["b"] + F.col("shift")).alias("b")))
+        deep = cuts.join(found, ["key2", "t2"]).groupBy("key", "t").agg(F.flatten(F.collect_list(moved)).alias("hits"))
+        references = references.join(large, "key", "left_anti")
+    else:
+        deep = None
+    total = references.agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = references.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(1, int(total) // SHARD_WORDS))))
+    found = dealt.groupBy("shard").applyInArrow(_match(run), "key long, t long, hits array<struct<a:int,b:int>>")
+    return materialize(found if deep is None else found.unionByName(deep), "hits")
 
 
 def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sparklog.llm.common import materialize
@@ -164,8 +166,9 @@ def test_substring_dedup(some, run):
         assert (out[i]["n_words"], out[i]["n_removed"], out[i]["kept"]) == (n, n - len(k.split()), k), i
 
 
-def test_substring_dedup_hot_minimizer(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", 3)
+def test_substring_dedup_recuts_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "KEY_WORDS", 60)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 100)
     phrase = " ".join(f"common{i}" for i in range(20))
     texts = [f"{' '.join(f'a{i}b{k}' for k in range(12))} {phrase} {' '.join(f'c{i % 3}d{k}' for k in range(12))}" for i in range(9)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -173,6 +176,17 @@ def test_substring_dedup_hot_minimizer(spark, monkeypatch):
     assert [out[i] for i in range(9)] == brute.repeated_words(texts, 22)
 
 
+def test_substring_dedup_of_one_repeated_word(spark):
+    """Texts of one word have few contents, however long: 50 of them, with ends of their own."""
+    texts = [" ".join(["same"] * (3000 + i) + [f"end{i}"]) for i in range(50)] + [" ".join(["lone"] * 40), " ".join(["a", "b"] * 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["kept"] for r in substring_dedup.remove_repeats(docs, run=35).collect()}
+    assert [out[i] for i in range(len(texts))] == brute.repeated_words(texts, 35)
+    words = [substring_dedup.word_hashes(*next(substring_dedup.slices(pa.array([t])))[2:])[0] for t in texts[:50]]
+    contents = {(int(m), int(s)) for w in words for m, s in zip(*substring_dedup.segments(w, np.zeros(len(w), dtype=int), 35)[:2], strict=True)}
+    assert len(contents) < 50 * 40
+
+
 def test_automaton_counts_places():
     automaton = substring_dedup.SuffixAutomaton()
     automaton.add([1, 2, 3, 1, 2], 1)
