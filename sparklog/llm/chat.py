@@ -7,10 +7,10 @@ strings inside contents are escaped: ``<``, any number of backslashes, ``|`` get
 more, and loses it on reading. The loss mask marks the ids of assistant texts; it is the prefix
 sum of +1 where such a text begins and -1 where it ends.
 
-Defined cases: turns are ordered by turn, then role, then text, null first; repeated rows are
-turns of their own; null role or text is empty; a null conversation id is a conversation; an
-empty table gives an empty table; other columns are ignored. A conversation is one row of the
-result, so a task holds its longest one.
+Defined cases: turns are ordered by turn, null first, then role, then text, by their UTF-8 bytes;
+repeated rows are turns of their own; null role or text is empty; a null conversation id is a
+conversation; an empty table gives an empty table; other columns are ignored. A conversation is
+one row of the result, so a task holds its longest one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sparklog.llm.common import table
 
 CONTROL = ["<|im_start|>", "<|im_sep|>", "<|im_end|>"]
-_known: dict[str, tuple[object, dict[int, bytes], int]] = {}
+_known: dict[str, tuple[object, list[bytes], int]] = {}
 
 
 def escape(text: str) -> str:
@@ -55,72 +55,73 @@ def load(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         alphabet, vocabulary = byte_alphabet(), tokenizer.get_vocab(with_added_tokens=True)
-        pieces = {i: bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode() for s, i in vocabulary.items()}
-        _known[path] = (tokenizer, pieces, max(vocabulary.values()) + 1)
+        reserved = max(vocabulary.values()) + 1
+        pieces = [b""] * reserved
+        for s, i in vocabulary.items():
+            pieces[i] = bytes(alphabet[c] for c in s) if all(c in alphabet for c in s) else s.encode()
+        _known[path] = (tokenizer, pieces, reserved)
     return _known[path]
 
 
-def _encode(path: str):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)[0]
-        for batch in batches:
-            out = [batch.column(0), batch.column(1)]
-            for column in batch.columns[2:]:
-                ids = []
-                for first in range(0, len(column), 500):
-                    texts = [escape(x or "") for x in column.slice(first, 500).to_pylist()]
-                    ids += [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-                out.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.record_batch(out, names=["conv", "turn", "role_ids", "text_ids"])
-
-    return go
+#: Segments that are encoded at once.
+ENCODED = 2000
 
 
 def _assemble(path: str):
+    """(conv, ids, loss_mask) from (conv, turns): segments are encoded apart, then spliced."""
+
+    def spliced(turns: list[dict], ids_of: dict[str, np.ndarray], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts, steps, at = [], [], 0
+        for x in turns:
+            role, text = ids_of[x["role"]], ids_of[x["text"]]
+            parts += [marks[:1], role, marks[1:2], text, marks[2:]]
+            begin = at + len(role) + 2
+            at = begin + len(text) + 1
+            if x["role"] == "assistant":
+                steps.append((begin, at - 1))
+        delta = np.zeros(at + 1, dtype=np.int8)
+        for begin, end in steps:
+            delta[begin] += 1
+            delta[end] -= 1
+        return np.concatenate([np.zeros(0, dtype=np.int32), *parts]), np.cumsum(delta[:-1], dtype=np.int8)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, _, reserved = load(path)
-        assistant = tokenizer.encode("assistant", add_special_tokens=False).ids
+        marks = np.arange(reserved, reserved + 3, dtype=np.int32)
         for batch in batches:
-            all_ids, masks = [], []
-            for turns in batch.column(1).to_pylist():
-                ids, steps = [], []
-                for x in turns:
-                    ids += [reserved, *x["role_ids"], reserved + 1]
-                    begin = len(ids)
-                    ids += x["text_ids"]
-                    if x["role_ids"] == assistant:
-                        steps.append((begin, len(ids)))
-                    ids.append(reserved + 2)
-                delta = np.zeros(len(ids) + 1, dtype=np.int8)
-                for begin, end in steps:
-                    delta[begin] += 1
-                    delta[end] -= 1
-                all_ids.append(ids)
-                masks.append(np.cumsum(delta[:-1], dtype=np.int8))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(all_ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
-                names=["conv", "ids", "loss_mask"],
-            )
+            for first in range(0, len(batch), 200):
+                part = batch.slice(first, 200)
+                talks = part.column(1).to_pylist()
+                segments = list({x[c] for turns in talks for x in turns for c in ("role", "text")})
+                ids_of = {}
+                for k in range(0, len(segments), ENCODED):
+                    some = segments[k : k + ENCODED]
+                    coded = tokenizer.encode_batch_fast([escape(x) for x in some], add_special_tokens=False)
+                    ids_of |= {x: np.array(c.ids, dtype=np.int32) for x, c in zip(some, coded, strict=True)}
+                done = [spliced(turns, ids_of, marks) for turns in talks]
+                ends = np.cumsum([0, *(len(ids) for ids, _ in done)]).astype(np.int32)
+                ids = np.concatenate([x[0] for x in done]) if done else np.zeros(0, dtype=np.int32)
+                mask = np.concatenate([x[1] for x in done]) if done else np.zeros(0, dtype=np.int8)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids, mask)]
+                yield pa.record_batch([part.column(0), *lists], names=["conv", "ids", "loss_mask"])
 
     return go
 
 
 def format_chats(turns: DataFrame, tokenizer: str, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """key, ids and loss_mask of every conversation."""
-    source = turns.select(F.col(key).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    encoded = source.mapInArrow(
-        _encode(tokenizer), f"conv {kinds['conv']}, turn {kinds['turn']}, role_ids array<int>, text_ids array<int>"
-    )
-    grouped = encoded.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role_ids", "text_ids"))).alias("turns"))
-    out = grouped.mapInArrow(_assemble(tokenizer), f"conv {kinds['conv']}, ids array<int>, loss_mask array<tinyint>")
+    said = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = turns.select(F.col(key).alias("conv"), said.alias("said"))
+    kind = source.schema["conv"].dataType.simpleString()
+    grouped = source.groupBy("conv").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    out = grouped.mapInArrow(_assemble(tokenizer), f"conv {kind}, ids array<int>, loss_mask array<tinyint>")
     return out.withColumnRenamed("conv", key)
 
 
 def read_turns(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[list[tuple[str, str]], list[str], str]:
     """The turns, the texts under the mask, and the whole text, from formatted ids alone."""
     _, pieces, reserved = load(path)
-    decode = lambda part: b"".join(pieces[i] for i in part.tolist()).decode("utf-8", "replace")
+    decode = lambda part: b"".join(map(pieces.__getitem__, part.tolist())).decode("utf-8", "replace")
     turns, marks = [], np.flatnonzero(ids >= reserved).reshape(-1, 3)
     whole = []
     for start, sep, end in marks.tolist():

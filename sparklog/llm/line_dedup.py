@@ -9,8 +9,8 @@ Defined cases: null text stays null; fewer than three lines with a word: nothing
 blank lines stay; the id may be null (it comes first) and need not be unique: rows with the same
 id and text count as one document and get the same result, equal ids with different texts are
 different documents in the order of their texts' hashes; an empty table gives an empty table;
-further columns are kept as they are, but the result's n_lines, n_removed and n_full win
-over columns of these names.
+further columns are kept as they are, but the result's n_lines and n_removed win over
+columns of these names.
 """
 
 from __future__ import annotations
@@ -52,12 +52,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     return later.groupBy("_id", "_hash").agg(F.collect_set("k").alias("_starts"), F.max("full").alias("_full"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
-    """docs with the text cleaned, and n_lines, n_removed and n_full, the lines with a word before.
-
-    Blank lines count among n_lines; n_full is null where nothing is removed. The columns of docs
-    travel as one struct, so that none clashes with a helper column.
-    """
+def _cleaned(docs: DataFrame, key: str, text: str, run: int) -> DataFrame:
+    """_d, the columns of docs as a struct, so that none clashes with a helper; _text, the cleaned
+    text; _n, all lines; _cut, how many go; _full, lines with a word before, null if none goes."""
     held = docs.select(F.struct(*docs.columns).alias("_d"), F.xxhash64(text).alias("_th"))
     marks = repeated_lines(docs, key, text, run)
     joined = held.join(marks, held[f"_d.{key}"].eqNullSafe(marks["_id"]) & (held["_th"] == marks["_hash"]), "left")
@@ -65,18 +62,30 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: i
     marked = joined.select("_d", "_starts", "_full", F.split(own, "\n", -1).alias("_lines"))
     places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get(F.col("_lines"), i).rlike(WORD_CHAR))
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (run - 1)))))
-    marked = marked.withColumn("_places", F.when(F.col("_starts").isNotNull(), places)).withColumn("_cut", covered)
-    cut = F.transform("_cut", lambda k: F.get(F.col("_places"), k))
+    marked = marked.withColumn("_places", F.when(F.col("_starts").isNotNull(), places)).withColumn("_gone", covered)
+    cut = F.transform("_gone", lambda k: F.get(F.col("_places"), k))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), cut)
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    added = {
-        "n_lines": F.when(own.isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_lines"), F.lit(0))).cast("long"),
-        "n_removed": F.coalesce(F.when(F.col("_starts").isNotNull(), F.size("_cut")), F.lit(0)).cast("long"),
-        "n_full": F.col("_full").cast("long"),
-    }
-    kept = [F.col(f"_d.{c}").alias(c) for c in docs.columns if c != text and c not in added]
-    out = marked.select(*kept, F.when(F.col("_starts").isNull(), own).otherwise(cleaned).alias(text), *(v.alias(c) for c, v in added.items()))
-    return out.select(*(c for c in docs.columns if c not in added), *added)
+    return marked.select(
+        "_d",
+        F.when(F.col("_starts").isNull(), own).otherwise(cleaned).alias("_text"),
+        F.when(own.isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_lines"), F.lit(0))).cast("long").alias("_n"),
+        F.coalesce(F.when(F.col("_starts").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("_cut"),
+        "_full",
+    )
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
+    """docs with the text cleaned, and n_lines and n_removed (blank lines count among n_lines)."""
+    own = [F.col("_text").alias(text) if c == text else F.col(f"_d.{c}").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _cleaned(docs, key, text, run).select(*own, F.col("_n").alias("n_lines"), F.col("_cut").alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
+    """docs with the text cleaned, all other columns as they were, without the rows of which no line
+    with a word is left. That is told by counts, so that no text is built for a filter."""
+    left = _cleaned(docs, key, text, run).where((F.col("_cut") == 0) | (F.col("_cut") < F.col("_full")))
+    return left.select(*(F.col("_text").alias(text) if c == text else F.col(f"_d.{c}").alias(c) for c in docs.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

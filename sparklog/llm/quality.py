@@ -2,17 +2,19 @@
 
 Every document gets the base counts (see ``measure``). Five rates of whole numbers, such as
 symbols per thousand word characters, are summarised by language and source in a quantile
-sketch: counts of logarithmic buckets, exact below 32 and within 1/16 above. Such sketches merge
-by adding counts, so partial ones are summed before the shuffle, and a group with too few
-documents falls back to the merged sketch of its language, then to that of the corpus. A rate's
-cutoff is Tukey's far-out fence, Q3 + 3 (Q3 - Q1), moved out by a margin for groups whose
-quartiles coincide. A document is kept if it passes the base rule and no rate lies beyond its
-cutoff.
+sketch: counts of logarithmic buckets, exact below 128 and within 1/64 above. Such sketches merge
+by adding counts, so partial ones are summed before the shuffle. Every group's sketch is blended
+with its language's as if that brought PRIOR_DOCS documents more, and the language's with the
+corpus's likewise, so that a small group leans on its parents and a large one on itself, without
+a switch. A rate's cutoff lies REACH interquartile ranges beyond the quartiles; where these
+coincide, as for rates that are zero in most documents, they tell no width, and the rate's fixed
+margin stands in for it. A document is kept if it passes the base rule and no rate lies beyond
+its cutoff.
 
 Defined cases: null text has no words and fails the base rule; null language or source form
 groups of their own; every row is judged by itself, so repeated rows and ids don't matter; an
 empty table gives an empty table; extra columns stay, and the result's names win over clashing
-ones.
+ones (quality_filter() returns the columns of docs as they were).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from sparklog.llm.common import WORD_CHAR, materialize, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: rate: (how far beyond the quartiles at least a document must lie, whether low values are bad as well)
+#: rate: (margin where the quartiles coincide, whether low values are bad as well)
 RATES = {
     "symbol_rate": (50, False),
     "dup_line_rate": (400, False),
@@ -32,7 +34,10 @@ RATES = {
     "char_rate": (300, True),
     "line_rate": (500, False),
 }
-LEAST_DOCS = 100
+#: Documents that a parent's sketch counts for, and the fence in interquartile ranges.
+PRIOR_DOCS, REACH = 100, 6
+#: One document in the blended counts, which are whole numbers.
+UNIT = 1 << 20
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -45,51 +50,51 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD_CHAR))
-    out = docs.withColumn("_w", words_of(F.col(text)))
-    word = lambda i, k: F.get(F.col("_w"), i + k)
+    out = docs.withColumn("_quality_w", words_of(F.col(text)))
+    word = lambda i, k: F.get(F.col("_quality_w"), i + k)
     hashes = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2))
+        F.sequence(F.lit(0), F.size("_quality_w") - 3), lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2))
     )
-    out = out.withColumn("_h", F.when(F.size("_w") >= 3, hashes).otherwise(F.array().cast("array<long>")))
-    pairs = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    some = F.size(F.array_distinct("_h")) < F.size("_h")
-    out = out.withColumn("_p", F.when(some, pairs))
-    same = lambda x, k: F.coalesce(F.get(F.col("_p"), k)["h"] == x["h"], F.lit(False))
-    twice = F.filter("_p", lambda x, k: same(x, k - 1) | same(x, k + 1))
-    out = out.withColumn("_i", F.transform(twice, lambda x: x["i"])).withColumn("_lines", lines)
-    covered = F.size(F.array_distinct(F.concat("_i", F.transform("_i", lambda i: i + 1), F.transform("_i", lambda i: i + 2))))
+    out = out.withColumn("_quality_h", F.when(F.size("_quality_w") >= 3, hashes).otherwise(F.array().cast("array<long>")))
+    pairs = F.sort_array(F.transform("_quality_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    some = F.size(F.array_distinct("_quality_h")) < F.size("_quality_h")
+    out = out.withColumn("_quality_p", F.when(some, pairs))
+    same = lambda x, k: F.coalesce(F.get(F.col("_quality_p"), k)["h"] == x["h"], F.lit(False))
+    twice = F.filter("_quality_p", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    out = out.withColumn("_quality_i", F.transform(twice, lambda x: x["i"])).withColumn("_quality_lines", lines)
+    covered = F.size(F.array_distinct(F.concat("_quality_i", F.transform("_quality_i", lambda i: i + 1), F.transform("_quality_i", lambda i: i + 2))))
     out = out.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_words": F.size("_quality_w").cast("long"),
+            "word_chars": F.length(F.array_join("_quality_w", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_i").isNull(), F.lit(0)).otherwise(covered).cast("long"),
-            "_n_lines": F.size("_lines").cast("long"),
+            "n_dup_lines": (F.size("_quality_lines") - F.size(F.array_distinct("_quality_lines"))).cast("long"),
+            "n_repeat_words": F.when(F.col("_quality_i").isNull(), F.lit(0)).otherwise(covered).cast("long"),
+            "_quality_n_lines": F.size("_quality_lines").cast("long"),
         }
     )
     per = lambda a, b, k: F.floor(F.col(a) * F.lit(k) / F.greatest(F.col(b), F.lit(1))).cast("long")
     return out.withColumns(
         {
             "symbol_rate": per("n_symbols", "word_chars", 1000),
-            "dup_line_rate": per("n_dup_lines", "_n_lines", 1000),
+            "dup_line_rate": per("n_dup_lines", "_quality_n_lines", 1000),
             "repeat_rate": per("n_repeat_words", "n_words", 1000),
             "char_rate": per("word_chars", "n_words", 100),
-            "line_rate": per("_n_lines", "n_words", 1000),
+            "line_rate": per("_quality_n_lines", "n_words", 1000),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
-    ).drop("_w", "_h", "_p", "_i", "_lines", "_n_lines")
+    ).drop("_quality_w", "_quality_h", "_quality_p", "_quality_i", "_quality_lines", "_quality_n_lines")
 
 
 def bucket(x: Column) -> Column:
-    """Below 32 the number itself; above, the five leading bits and the number of the others."""
-    e = F.greatest(F.length(F.bin(x)) - 5, F.lit(0))
-    return (e * 32 + F.floor(x / F.pow(F.lit(2.0), e))).cast("long")
+    """Below 128 the number itself; above, the seven leading bits and the number of the others."""
+    e = F.greatest(F.length(F.bin(x)) - 7, F.lit(0))
+    return (e * 128 + F.floor(x / F.pow(F.lit(2.0), e))).cast("long")
 
 
 def bucket_floor(b: Column) -> Column:
     """The least number of a bucket."""
-    return ((b % 32) * F.pow(F.lit(2.0), F.floor(b / 32))).cast("long")
+    return ((b % 128) * F.pow(F.lit(2.0), F.floor(b / 128))).cast("long")
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -103,38 +108,41 @@ def sketch(measured: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """q1, q3 and the number of documents for each rate of each group."""
-    merged = sketches.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
-    below = Window.partitionBy(*by, "rate").orderBy("bucket")
-    all_ = Window.partitionBy(*by, "rate")
-    ranked = merged.withColumns({"below": F.sum("n").over(below), "total": F.sum("n").over(all_)})
-    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("total") * q, bucket_floor(F.col("bucket"))))
-    return ranked.groupBy(*by, "rate").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("docs"))
+def _blend(own: DataFrame, parent: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
+    """by, rate, bucket and w: own's counts n in UNITs, and PRIOR_DOCS documents dealt like parent's w.
 
+    ``shared`` are the keys that parent has; a parent's buckets include its children's.
+    """
+    total = Window.partitionBy(*shared, "rate")
+    prior = parent.withColumn("_prior", F.floor(F.lit(float(PRIOR_DOCS * UNIT)) * (F.col("w") / F.sum("w").over(total))).cast("long"))
+    prior = prior.select(*(F.col(c).alias(f"_p_{c}") for c in (*shared, "rate", "bucket")), "_prior")
+    groups = own.select(*by, "rate").distinct()
+    on = F.lit(True)
+    for c in (*shared, "rate"):
+        on = on & groups[c].eqNullSafe(prior[f"_p_{c}"])
+    spread = groups.join(prior, on).select(*by, "rate", F.col("_p_bucket").alias("bucket"), F.col("_prior").alias("w"))
+    counted = own.select(*by, "rate", "bucket", (F.col("n") * UNIT).alias("w"))
+    return spread.unionByName(counted).groupBy(*by, "rate", "bucket").agg(F.sum("w").alias("w"))
 
-def cutoffs(sketches: DataFrame) -> DataFrame:
-    """lang, source, rate, least, most: a row for each rate of each group that has documents.
 
-    Groups under LEAST_DOCS documents use their language's merged sketch, or else the corpus's.
-    """
-    own, lang, corpus = (_quartiles(sketches, by) for by in (["lang", "source"], ["lang"], []))
-    lang = lang.select(F.col("lang").alias("_lang"), F.col("rate").alias("_rate"), F.struct("q1", "q3", "docs").alias("_l"))
-    corpus = corpus.select(F.col("rate").alias("_rate2"), F.struct("q1", "q3").alias("_c"))
-    joined = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]) & (own["rate"] == lang["_rate"])).join(
-        corpus, own["rate"] == corpus["_rate2"]
-    )
-    pick = lambda q: F.when(F.col("docs") >= LEAST_DOCS, F.col(q)).when(F.col("_l.docs") >= LEAST_DOCS, F.col(f"_l.{q}")).otherwise(F.col(f"_c.{q}"))
-    known = joined.select("lang", "source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"))
+def cutoffs(sketches: DataFrame) -> DataFrame:
+    """lang, source, rate, least, most: a row for each rate of each group that has documents."""
+    own = sketches.groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
+    langs = own.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
+    corpus = langs.groupBy("rate", "bucket").agg((F.sum("n") * UNIT).alias("w"))
+    blended = _blend(own, _blend(langs, corpus, ["lang"], []), ["lang", "source"], ["lang"])
+    group = ["lang", "source", "rate"]
+    below = F.sum("w").over(Window.partitionBy(*group).orderBy("bucket"))
+    ranked = blended.withColumns({"below": below, "total": F.sum("w").over(Window.partitionBy(*group))})
+    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("total") * q, bucket_floor(F.col("bucket"))))
+    known = ranked.groupBy(*group).agg(at(1).alias("q1"), at(3).alias("q3"))
     margin = F.lit(0)
     low = F.lit(False)
-    for rate, (least, both) in RATES.items():
-        margin = F.when(F.col("rate") == rate, F.lit(least)).otherwise(margin)
+    for rate, (fixed, both) in RATES.items():
+        margin = F.when(F.col("rate") == rate, F.lit(fixed)).otherwise(margin)
         low = F.when(F.col("rate") == rate, F.lit(both)).otherwise(low)
-    reach = F.greatest(3 * (F.col("q3") - F.col("q1")), margin)
-    return known.select(
-        "lang", "source", "rate", F.when(low, F.col("q1") - reach).alias("least"), (F.col("q3") + reach).alias("most")
-    )
+    reach = F.when(F.col("q1") < F.col("q3"), REACH * (F.col("q3") - F.col("q1"))).otherwise(margin)
+    return known.select(*group, F.when(low, F.col("q1") - reach).alias("least"), (F.col("q3") + reach).alias("most"))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -165,6 +173,15 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return judge(measured, cutoffs(sketch(measured)))
 
 
+def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their own columns, whatever their names."""
+    used = {text, "lang", "source"}
+    held = docs.select(*(F.col(c) for c in docs.columns if c in used), F.struct(*docs.columns).alias("_d"))
+    measured = materialize(measure(held, text).drop(text), "quality")  # the text is in _d
+    kept = judge(measured, cutoffs(sketch(measured))).where("kept")
+    return kept.select(*(F.col(f"_d.{c}").alias(c) for c in docs.columns))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measured = materialize(measure(docs).drop("text"), "quality")

@@ -3,15 +3,16 @@
 Base spans, leftmost and non-overlapping for each kind: ``assign``, ``access`` and ``hex`` (the
 patterns below). The method adds spans of encoded keys, which it reports only after decoding:
 
-* ``pem``: a private-key block whose base64 body is one of the private keys below;
-* ``der``: base64 or hex that decodes to a private key, or base64 of an OpenSSH public key of
-  length-prefixed fields;
+* ``pem``: a private-key block whose base64 body is one of the private keys below, after header
+  lines or none;
+* ``der``: base64 or hex that decodes to a private key (public keys are no secret);
 * ``jwt``: a signed token whose first part is a JSON header with ``alg`` and whose second is JSON.
 
 Private keys are a DER sequence that begins with a small version number and nests without a gap;
 a DER sequence of a password-based algorithm and an octet string (EncryptedPrivateKeyInfo); and
-``openssh-key-v1``, whose length-prefixed fields fill the data. A block with ``Proc-Type`` headers
-is not confirmed: its body is bare ciphertext without a structure.
+``openssh-key-v1``, whose length-prefixed fields fill the data. The body of a block with
+``Proc-Type: 4,ENCRYPTED`` is bare ciphertext; it is confirmed by its ``DEK-Info`` header: a known
+cipher, an initial vector of that cipher's block, and a body of whole blocks.
 
 All patterns run in time linear in the text. Defined cases: null or empty text has no spans; a
 candidate that fails is dropped and not tried again from within; ids may be null or repeat, each
@@ -36,7 +37,9 @@ KINDS = ["assign", "access", "hex", "pem", "der", "jwt"]
 _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*+)-----END \1-----", re.ASCII)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*+((?:[A-Za-z-]{1,40}:[^\r\n]*+\s++)*+)([A-Za-z0-9+/=\s]*+)-----END \1-----", re.ASCII)
+#: Block bytes of the ciphers that the old encrypted form names.
+_CIPHER_BLOCKS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}+|[0-9A-F]{64,}+)(?![0-9A-Za-z])")
 #: Algorithms that encrypt by a password: PKCS 5, then PKCS 12.
@@ -137,6 +140,16 @@ def is_private_key(data: bytes | None) -> bool:
     return is_der_key(data) or is_encrypted_key(data) or is_openssh_key(data)
 
 
+def is_key_block(headers: str, body: str) -> bool:
+    """A PEM block: a private key, or whole cipher blocks under headers that say so."""
+    data = decode64(body)
+    if not re.search(r"(?m)^Proc-Type:\s*4,\s*ENCRYPTED\s*$", headers):
+        return is_private_key(data)
+    info = re.search(r"(?m)^DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", headers)
+    size = _CIPHER_BLOCKS.get(info[1]) if info else None
+    return bool(size and data) and len(info[2]) == 2 * size and len(data) % size == 0
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     try:
         head, body = json.loads(decode64(header) or b""), json.loads(decode64(payload) or b"")
@@ -151,8 +164,8 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_private_key(decode64(m[2]))]
-    found += [("der", *m.span()) for m in _BASE64.finditer(text) if is_private_key(d := decode64(m[0])) or is_ssh_key(d)]
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_key_block(m[2], m[3])]
+    found += [("der", *m.span()) for m in _BASE64.finditer(text) if is_private_key(decode64(m[0]))]
     found += [("der", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]

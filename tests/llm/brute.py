@@ -158,3 +158,59 @@ def leaks(docs, items, shingle=5):
                 if alike >= 0.5 and alike > out.get((d, i), 0):
                     out[d, i] = alike
     return out
+
+
+def quality_rates(text):
+    n_words, chars, symbols, dup, repeat, failed = base_counts(text)
+    lines = sum(bool(words(x)) for x in (text or "").split("\n"))
+    rates = {
+        "symbol_rate": symbols * 1000 // max(chars, 1),
+        "dup_line_rate": dup * 1000 // max(lines, 1),
+        "repeat_rate": repeat * 1000 // max(n_words, 1),
+        "char_rate": chars * 100 // max(n_words, 1),
+        "line_rate": lines * 1000 // max(n_words, 1),
+    }
+    return rates, failed
+
+
+def quality_verdicts(rows, prior=100, reach=6):
+    """Whether each (lang, source, text) is kept: fences of blended counts of rounded rates."""
+    from math import floor
+
+    margins = {"symbol_rate": 50, "dup_line_rate": 400, "repeat_rate": 400, "char_rate": 300, "line_rate": 500}
+
+    def rounded(x):
+        e = max(x.bit_length() - 7, 0)
+        return x >> e << e
+
+    unit = 1 << 20
+    measured = [(*quality_rates(t), lang, source) for lang, source, t in rows]
+    good = [m for m in measured if not m[1]]
+
+    def blended(own, parent):
+        total = sum(parent.values())
+        return {x: own.get(x, 0) * unit + floor(prior * unit * (w / total)) for x, w in parent.items()}
+
+    def fence(lang, source, rate):
+        counts = lambda keep: Counter(rounded(m[0][rate]) for m in good if keep(m))
+        corpus = {x: n * unit for x, n in counts(lambda m: True).items()}
+        w = blended(counts(lambda m: m[2:] == (lang, source)), blended(counts(lambda m: m[2] == lang), corpus))
+        total, below, cut = sum(w.values()), 0, {}
+        for x in sorted(w):
+            below += w[x]
+            for q in (1, 3):
+                if below * 4 >= total * q:
+                    cut.setdefault(q, x)
+        width = reach * (cut[3] - cut[1]) if cut[1] < cut[3] else margins[rate]
+        return (cut[1] - width if rate == "char_rate" else float("-inf")), cut[3] + width
+
+    known, out = {}, []
+    for rates, failed, lang, source in measured:
+        kept = not failed
+        for rate, x in rates.items() if kept else ():
+            at = (lang, source, rate)
+            if at not in known:
+                known[at] = fence(*at)
+            kept &= known[at][0] <= x <= known[at][1]
+        out.append(kept)
+    return out
