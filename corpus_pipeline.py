@@ -11,25 +11,20 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.common import materialize, table
 from sparklog.llm.decontam import drop_leaks
-from sparklog.llm.line_dedup import dedup_lines
+from sparklog.llm.line_dedup import without_repeats
 from sparklog.llm.ngram_join import keep_one
 from sparklog.llm.packing import pack
-from sparklog.llm.quality import cutoffs, judge, measure, sketch
+from sparklog.llm.quality import quality_filter
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a learnt cutoff go."""
-    measured = materialize(measure(docs), "quality")
-    return judge(measured, cutoffs(sketch(measured))).where("kept").select(*docs.columns)
+    return quality_filter(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go; so does a document that is left without a line with a word by that.
-
-    Whether one is left is told by counts, so that no text is built for a filter.
-    """
-    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_full")))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Repeated runs of lines go; so does a document that is left without a line with a word by that."""
+    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
