@@ -51,3 +51,68 @@ def envelope_value(data: Column, kind: int = 0) -> Column:
     head = F.hex(F.substring(data, 1, ENVELOPE_HEADER))
     good = head == F.lit(f"{ENVELOPE_MAGIC}00{ENVELOPE_HEADER:02X}00{kind:02X}")
     return F.when(good, F.substring(data, ENVELOPE_HEADER + 1, 2**31 - 1 - ENVELOPE_HEADER)).otherwise(data)
+
+
+def replication_response(payload: Column) -> dict[str, Column]:
+    """epoch, hw and data of a replication response: two numbers of eight bytes, then the records.
+
+    All three are null for a payload of fewer than 16 bytes. Epochs and offsets stay far below
+    the last bit, so the seven low bytes of each tell it, unless all bytes are set: -1.
+    """
+    whole = F.octet_length(payload) >= 16
+
+    def number(start: int) -> Column:
+        eight = F.hex(F.substring(payload, start, 8))
+        return F.when(whole, F.when(eight == "F" * 16, F.lit(-1).cast("long")).otherwise(F.conv(F.substring(eight, 3, 14), 16, 10).cast("long")))
+
+    return {"epoch": number(1), "hw": number(9), "data": F.when(whole, F.substring(payload, 17, 2**31 - 17))}
+
+
+def has_bit(n: Column, position: int) -> Column:
+    return F.shiftright(n, position).bitwiseAND(F.lit(1)) == 1
+
+
+def tick(elapsed: Column, most: Column | int) -> Column:
+    """How long to sleep before the next check; the whole time if it has passed already."""
+    most = F.lit(most) if isinstance(most, int) else most
+    return F.when(most - elapsed < 0, most).otherwise(most - elapsed)
+
+
+def backoff(previous: Column, first: int = 1, most: int = 10) -> Column:
+    """Seconds to wait after a failure: 1, then twice the time before, at most 10."""
+    return F.when(previous == 0, F.lit(first)).otherwise(F.least(previous * 2, F.lit(most)))
+
+
+def override(value: Column, default: Column | int, scale: int = 1) -> Column:
+    """A stream's own setting if it has one, else the default; a setting of 0 is a setting."""
+    return F.coalesce(value * scale, F.lit(default) if isinstance(default, int) else default)
+
+
+def milliseconds(value: Column) -> Column:
+    """A duration override as nanoseconds."""
+    return value * 1_000_000
+
+
+def retention_text(messages: Column, size: Column, age_s: Column, compact: Column) -> Column:
+    """What a stream keeps, for people; limits of 0 are none."""
+    parts = F.array(
+        F.when(messages != 0, F.concat(F.lit("Messages: "), F.format_number(messages, 0))),
+        F.when(size != 0, F.concat(F.lit("Size: "), size.cast("string"), F.lit(" B"))),
+        F.when(age_s > 0, F.concat(F.lit("Age: "), age_s.cast("string"), F.lit(" s"))),
+    )
+    limits = F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", ")
+    return F.concat(F.lit("["), F.when(limits == "", "no limits").otherwise(limits), F.lit(", Compact: "), compact.cast("string"), F.lit("]"))
+
+
+def auto_pause_text(seconds: Column) -> Column:
+    return F.when(seconds > 0, F.concat(seconds.cast("string"), F.lit(" s"))).otherwise("disabled")
+
+
+def server_list(text: Column) -> Column:
+    """The trimmed, non-empty parts of a comma-separated list."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def balanced_stream(key: Column, streams: int) -> Column:
+    """The one stream of a load-balance group that gets a message, by its key's checksum."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(streams)).cast("int")

@@ -9,15 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklog.errors import InvalidArgument
 from sparklog.operators.sequence import sequence
 
 BY = ("stream", "partition")
 
 
-def high_watermark(replicas: DataFrame, min_isr: int, by: Sequence[str] = BY) -> DataFrame:
-    """The least latest offset of the in-sync replicas; -1 for partitions with fewer than min_isr."""
-    out = replicas.groupBy(*by).agg(F.min("latest").alias("least"), F.count("*").alias("isr"))
-    return out.select(*by, "isr", F.when(F.col("isr") >= min_isr, F.col("least")).otherwise(F.lit(-1)).cast("long").alias("hw"))
+def high_watermark(replicas: DataFrame, min_isr: int, by: Sequence[str] = BY, old: DataFrame | None = None) -> DataFrame:
+    """isr and hw: the least latest offset of the in-sync replicas, never below the old watermark.
+
+    A partition with fewer than min_isr replicas commits nothing: it keeps the old watermark, from
+    ``old`` (by, hw), which is -1 where there is none.
+    """
+    out = replicas.groupBy(*by).agg(F.min("latest").alias("_least"), F.count("*").alias("isr"))
+    known = out.withColumn("_old", F.lit(-1).cast("long"))
+    if old is not None:
+        known = out.join(old.select(*by, F.col("hw").alias("_old")), [*by], "left").withColumn("_old", F.coalesce("_old", F.lit(-1).cast("long")))
+    moved = F.greatest(F.col("_old"), F.col("_least"))
+    return known.select(*by, "isr", F.when(F.col("isr") >= min_isr, moved).otherwise(F.col("_old")).cast("long").alias("hw"))
 
 
 def ack_time(policy: Column, written: Column, committed: Column) -> Column:
@@ -29,6 +38,22 @@ def latest_cursors(cursors: DataFrame, key: Sequence[str]) -> DataFrame:
     return cursors.groupBy(*key).agg(F.max_by("cursor_offset", "log_offset").alias("cursor_offset"))
 
 
+def set_cursors(writes: DataFrame, order: str) -> DataFrame:
+    """The cursor store after writes (stream, partition, cursor_id, cursor_offset): the newest of
+    each key. A write without a stream or an id is refused and changes nothing."""
+    good = writes.where("coalesce(stream, '') != '' and coalesce(cursor_id, '') != ''")
+    return latest_cursors(good.withColumnRenamed(order, "log_offset"), ["stream", "partition", "cursor_id"])
+
+
+def fetch_cursors(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked (stream, partition, cursor_id) with cursor_offset, -1 where none is stored, and error."""
+    key = ["stream", "partition", "cursor_id"]
+    error = F.when(F.coalesce("stream", F.lit("")) == "", "NO_STREAM").when(F.coalesce("cursor_id", F.lit("")) == "", "NO_CURSOR_ID")
+    found = asked.join(stored, key, "left").withColumn("error", error)
+    offset = F.when(F.col("error").isNull(), F.coalesce("cursor_offset", F.lit(-1).cast("long")))
+    return found.withColumn("cursor_offset", offset)
+
+
 def lag(log_bounds: DataFrame, cursors: DataFrame, key: Sequence[str]) -> DataFrame:
     """Records after each cursor; a partition without one counts from the beginning."""
     joined = log_bounds.join(cursors, [*key], "left")
@@ -37,8 +62,18 @@ def lag(log_bounds: DataFrame, cursors: DataFrame, key: Sequence[str]) -> DataFr
     )
 
 
-def choose_replicas(brokers: DataFrame, factor: int, by: Sequence[str] = ()) -> DataFrame:
-    """The ``factor`` brokers with the least load, ties in input order; -1 takes all."""
+def choose_replicas(brokers: DataFrame, factor: int, by: Sequence[str] = (), cluster: int | None = None) -> DataFrame:
+    """The ``factor`` brokers with the least load, ties in input order; -1 takes all.
+
+    A factor of 0, below -1, or above the number of brokers (``cluster``, else counted) is refused.
+    """
+    if factor != -1:
+        if factor <= 0:
+            raise InvalidArgument(f"replication factor {factor} is not positive")
+        if cluster is None:
+            cluster = brokers.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
+        if factor > cluster:
+            raise InvalidArgument(f"replication factor {factor} exceeds the cluster's size {cluster}")
     rank = Window.partitionBy(*by).orderBy("load", "position") if by else Window.partitionBy(F.lit(0)).orderBy("load", "position")
     ranked = brokers.withColumn("rank", F.row_number().over(rank).cast("long"))
     return ranked if factor < 0 else ranked.where(F.col("rank") <= factor)

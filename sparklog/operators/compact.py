@@ -77,3 +77,10 @@ def retain_age(stats: DataFrame, cutoff_us: int, by: Sequence[str] = BY) -> Data
 def retain(stats: DataFrame, cutoff_us: int, records: int, size: int) -> DataFrame:
     """Age, then count, then bytes, in this order."""
     return retain_count(retain_count(retain_age(stats, cutoff_us), records), size, "bytes")
+
+
+def removed(log: DataFrame, kept: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by and how many records compaction removed: a difference of counts, without a join of records."""
+    before = log.groupBy(*by).agg(F.count("*").alias("_before"))
+    after = kept.groupBy(*by).agg(F.count("*").alias("_after"))
+    return before.join(after, [*by], "left").select(*by, (F.col("_before") - F.coalesce("_after", F.lit(0))).alias("removed"))

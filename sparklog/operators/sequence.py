@@ -34,12 +34,6 @@ def sequence(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Col
     )
 
 
-def record_size(key: str = "key", value: str = "value") -> Column:
-    """Bytes of a stored record without headers: set header, fixed fields, key and value."""
-    length = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    return (F.lit(28 + 6 + 4 + 4 + 2) + length(key) + length(value)).cast("long")
-
-
 def fold_in_order(df: DataFrame, by: Sequence[str], order: str, value: str, step: Callable, start: object, results: dict[str, str]) -> DataFrame:
     """by, order and results: a fold over each partition's rows in order.
 
@@ -67,21 +61,26 @@ def fold_in_order(df: DataFrame, by: Sequence[str], order: str, value: str, step
     return slim.mapInArrow(go, schema)
 
 
-def roll_segments(log: DataFrame, max_bytes: int, by: Sequence[str] = ("stream", "partition")) -> DataFrame:
+def roll_segments(log: DataFrame, max_bytes: int, by: Sequence[str] = ("stream", "partition"), max_age_us: int = 0) -> DataFrame:
     """Add ``segment``, the base offset of the segment that each record falls in.
 
-    A record opens a new segment if the current one has max_bytes or more. The sum restarts at
-    each segment, so this is a fold over a partition's sizes in order; only sizes enter Python,
-    and state is two numbers.
+    A record opens a new segment if the current one has max_bytes or more, or if max_age_us (0:
+    never) have passed since its first write. Both restart at each segment, so this is a fold
+    over a partition's sizes and times in order; only those enter Python, and state is three
+    numbers.
     """
 
-    def step(state, offset, size):
-        base, held = state
-        if base is None or held >= max_bytes:
-            base, held = offset, 0
-        return (base, held + size), (base,)
+    def step(state, offset, record):
+        base, held, since = state
+        size, at = (record, 0) if isinstance(record, int) else (record["size"], record["at"])
+        if base is None or held >= max_bytes or (max_age_us and at - since >= max_age_us):
+            base, held, since = offset, 0, at
+        return (base, held + size, since), (base,)
 
-    return log.join(fold_in_order(log, by, "offset", "size_bytes", step, (None, 0), {"segment": "long"}), [*by, "offset"])
+    slim, value = log, "size_bytes"
+    if max_age_us:
+        slim, value = log.withColumn("_record", F.struct(F.col("size_bytes").alias("size"), F.col("ts_us").alias("at"))), "_record"
+    return log.join(fold_in_order(slim, by, "offset", value, step, (None, 0, 0), {"segment": "long"}), [*by, "offset"])
 
 
 def accept_expected(attempts: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -104,11 +103,22 @@ def epoch_starts(log: DataFrame, by: Sequence[str] = ("stream", "partition")) ->
 
 
 def last_offset_for_epoch(log: DataFrame, epochs: DataFrame, by: Sequence[str] = ("stream", "partition")) -> DataFrame:
-    """For each asked epoch the start of the next larger one, or else the newest offset."""
-    starts = epoch_starts(log, by)
-    newest = log.groupBy(*by).agg(F.max("offset").alias("newest"))
-    asked = newest.crossJoin(F.broadcast(epochs)) if epochs.columns == ["asked"] else newest.join(epochs, [*by])
-    found = asked.join(starts, [*by]).groupBy(*by, "asked", "newest").agg(
-        F.min(F.when(F.col("leader_epoch") > F.col("asked"), F.col("start_offset"))).alias("next_start")
-    )
-    return found.select(*by, "asked", F.coalesce("next_start", "newest").alias("last_offset"))
+    """For each asked epoch the start of the next larger one, or else the newest offset.
+
+    ``epochs`` has asked, alone or with by. One pass over the log gives each partition's epochs
+    with their starts and its newest offset; asked epochs join them by equality or fall between two.
+    """
+    runs = log.groupBy(*by, "leader_epoch").agg(F.min("offset").alias("start_offset"), F.max("offset").alias("end_offset"))
+    line = Window.partitionBy(*by).orderBy("leader_epoch")
+    after = F.first("start_offset").over(line.rowsBetween(1, Window.unboundedFollowing))
+    newest = F.max("end_offset").over(Window.partitionBy(*by))
+    first = F.row_number().over(line) == 1
+    # [from, until) is the range of asked epochs that each run answers; the first also answers all before it
+    steps = runs.select(*by, "leader_epoch", "start_offset", F.coalesce(after, newest).alias("answer"), first.alias("first"), F.lead("leader_epoch").over(line).alias("until"))
+    before = steps.where("first").select(*by, F.lit(None).cast("long").alias("since"), F.col("leader_epoch").alias("until"), F.col("start_offset").alias("answer"))
+    ranges = steps.select(*by, F.col("leader_epoch").alias("since"), "until", "answer").unionByName(before)
+    inside = (F.col("since").isNull() | (F.col("asked") >= F.col("since"))) & (F.col("until").isNull() | (F.col("asked") < F.col("until")))
+    if epochs.columns == ["asked"]:
+        listed = epochs.agg(F.sort_array(F.collect_set("asked")).alias("_all"))  # distinct epochs, few
+        return ranges.join(F.broadcast(listed), F.lit(True)).select("*", F.explode("_all").alias("asked")).where(inside).select(*by, "asked", F.col("answer").alias("last_offset"))
+    return ranges.join(epochs, [*by]).where(inside).select(*by, "asked", F.col("answer").alias("last_offset"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparklog.functions import scalar
-from sparklog.operators import commit, compact, quantiles, scan
+from sparklog import scratch
+from sparklog.functions import record, scalar
+from sparklog.operators import commit, compact, publish, quantiles, scan
 from sparklog.operators import sequence as seq
 from sparklog.plans import catalog
 from sparklog.schema import RESERVED_STREAMS
-from sparklog.sources.events import events_log, raw_events, table
+from sparklog.sources.events import events_log, raw_events, stored_events, table
 from sparklog.streaming.sequencing import drain_sequenced
 
 QUERIES: dict = {}
@@ -51,7 +50,7 @@ def sized_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events log with sizes, segments of a hundred records and daily leader epochs."""
     return events_log(spark, sf_dir).withColumns(
         {
-            "size_bytes": seq.record_size(),
+            "size_bytes": record.record_size(),
             "segment": (F.floor(F.col("offset") / 100) * 100).cast("long"),
             "leader_epoch": F.floor(F.col("ts_us") / 86_400_000_000).cast("long"),
         }
@@ -74,13 +73,12 @@ def log_sequence(spark, sf_dir):
 
 @query("scan_committed_range", LOG + f'SELECT {DELIVERED_SQL} FROM log JOIN st USING (stream, partition) WHERE partition = 2 AND "offset" BETWEEN 50 AND 5000 AND "offset" <= hw')
 def scan_committed_range(spark, sf_dir):
-    log = positioned(spark, sf_dir).where("partition = 2")
-    return scan.forward(log, 50, 5000, F.col("hw")).select(*DELIVERED)
+    return stored_events(spark, sf_dir).committed("events", 2, 50, 5000).select(*DELIVERED)
 
 
 @query("scan_uncommitted", LOG + f'SELECT {DELIVERED_SQL} FROM log WHERE partition = 1 AND "offset" >= 100')
 def scan_uncommitted(spark, sf_dir):
-    return scan.forward(events_log(spark, sf_dir).where("partition = 1"), 100).select(*DELIVERED)
+    return scan.forward(stored_events(spark, sf_dir).scan("events", 1), 100).select(*DELIVERED)
 
 
 @query("scan_reverse_limit", LOG + """SELECT partition, "offset", row_number() OVER (PARTITION BY partition ORDER BY "offset" DESC) AS rank, key
@@ -96,20 +94,23 @@ TIMES = [0, 1704067200000000, 1704672000000000, 1705276800000000, 41024448000000
 _TIMES_SQL = ", ".join(f"({t})" for t in TIMES)
 
 
-def _times(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(t,) for t in TIMES], "t long"))
+def _asked(log: DataFrame) -> DataFrame:
+    """Every time for every partition."""
+    return log.select("stream", "partition").distinct().withColumn("t", F.explode(F.array(*(F.lit(t).cast("long") for t in TIMES))))
 
 
 @query("start_at_timestamp", LOG + f"""SELECT partition, t, coalesce(min("offset") FILTER (ts_us >= t), max("offset") + 1, 0) AS start_offset
 FROM log, (VALUES {_TIMES_SQL}) v(t) GROUP BY ALL""")
 def start_at_timestamp(spark, sf_dir):
-    return events_log(spark, sf_dir).join(_times(spark), F.lit(True)).groupBy("partition", "t").agg(scan.start_at(F.col("t")).alias("start_offset"))
+    log = events_log(spark, sf_dir)
+    return scan.starts_at(log, _asked(log)).select("partition", "t", "start_offset")
 
 
 @query("stop_at_timestamp", LOG + f"""SELECT partition, t, max("offset") FILTER (ts_us <= t) AS stop_offset
 FROM log, (VALUES {_TIMES_SQL}) v(t) GROUP BY ALL""")
 def stop_at_timestamp(spark, sf_dir):
-    return events_log(spark, sf_dir).join(_times(spark), F.lit(True)).groupBy("partition", "t").agg(scan.stop_at(F.col("t")).alias("stop_offset"))
+    log = events_log(spark, sf_dir)
+    return scan.stops_at(log, _asked(log)).select("partition", "t", "stop_offset")
 
 
 @query("start_positions_all", LOG + 'SELECT partition, min("offset") AS earliest, max("offset") AS latest, max("offset") + 1 AS new_only, greatest(-5, 0)::BIGINT AS negative FROM log GROUP BY ALL')
@@ -186,7 +187,7 @@ def compact_null_keys(spark, sf_dir):
   FROM f JOIN sized s ON s.partition = f.partition AND s."offset" = f."offset" + 1
 ) SELECT partition, "offset", segment FROM f""")
 def segment_roll_bytes(spark, sf_dir):
-    log = events_log(spark, sf_dir).withColumn("size_bytes", seq.record_size())
+    log = events_log(spark, sf_dir).withColumn("size_bytes", record.record_size())
     return seq.roll_segments(log, 10_000).select("partition", "offset", "segment")
 
 
@@ -272,7 +273,7 @@ def ack_policy_times(spark, sf_dir):
     return log.select("partition", "offset", "policy", commit.ack_time(F.col("policy"), F.col("ts_us"), F.col("committed")).alias("ack_us"))
 
 
-_CURSORS = """, c AS (SELECT partition, event_type AS cursor_id, "offset" AS log_offset, "offset" - 1 AS cursor_offset FROM log WHERE "offset" % 7 = 0),
+_CURSORS = """, c AS (SELECT partition, event_type AS cursor_id, "offset" AS log_offset, "offset" - 1 AS cursor_offset FROM log),
 latest AS (SELECT partition, cursor_id, arg_max(cursor_offset, log_offset) AS cursor_offset FROM c GROUP BY ALL)"""
 
 
@@ -283,7 +284,7 @@ def _cursors(log: DataFrame) -> DataFrame:
 
 @query("cursor_latest", LOG + _CURSORS + " SELECT cursor_id || ',events,' || partition AS cursor_key, cursor_offset FROM latest")
 def cursor_latest(spark, sf_dir):
-    latest = _cursors(events_log(spark, sf_dir).where("offset % 7 = 0"))
+    latest = _cursors(events_log(spark, sf_dir))
     return latest.select(scalar.cursor_key(F.col("cursor_id"), F.lit("events"), F.col("partition")).alias("cursor_key"), "cursor_offset")
 
 
@@ -292,24 +293,20 @@ SELECT partition, cursor_id, coalesce(cursor_offset, -1) AS cursor_offset FROM a
 def cursor_missing_default(spark, sf_dir):
     log = events_log(spark, sf_dir)
     asked = log.select("partition").distinct().withColumn("cursor_id", F.explode(F.array(F.lit("click"), F.lit("nobody"))))
-    return _latest_or_none(asked, log.where("offset % 7 = 0"))
-
-
-#: The cursor queries over every record.
-_ALL_CURSORS = (' WHERE "offset" % 7 = 0', "")
+    return _latest_or_none(asked, log)
 
 
 def _latest_or_none(asked: DataFrame, log: DataFrame) -> DataFrame:
     return asked.join(_cursors(log), ["partition", "cursor_id"], "left").withColumn("cursor_offset", F.coalesce("cursor_offset", F.lit(-1).cast("long")))
 
 
-@query("cursor_latest_all", ORACLE_SQL["cursor_latest"].replace(*_ALL_CURSORS))
+@query("cursor_latest_all", ORACLE_SQL["cursor_latest"])
 def cursor_latest_all(spark, sf_dir):
     latest = _cursors(events_log(spark, sf_dir))
     return latest.select(scalar.cursor_key(F.col("cursor_id"), F.lit("events"), F.col("partition")).alias("cursor_key"), "cursor_offset")
 
 
-@query("cursor_missing_default_all", ORACLE_SQL["cursor_missing_default"].replace(*_ALL_CURSORS))
+@query("cursor_missing_default_all", ORACLE_SQL["cursor_missing_default"])
 def cursor_missing_default_all(spark, sf_dir):
     log = events_log(spark, sf_dir)
     asked = log.select("partition").distinct().withColumn("cursor_id", F.explode(F.array(F.lit("click"), F.lit("nobody"))))
@@ -334,10 +331,10 @@ def resume_from_cursor(spark, sf_dir):
     return log.join(half, "partition", "left").where("offset > coalesce(cursor_offset, -1)").select("partition", "offset", "key")
 
 
-@query("group_assign_single_stream", """WITH m AS (SELECT 's' || s_suppkey AS id, row_number() OVER (ORDER BY 's' || s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier WHERE s_suppkey <= 5)
+@query("group_assign_single_stream", """WITH m AS (SELECT 's' || s_suppkey AS id, row_number() OVER (ORDER BY 's' || s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier)
 SELECT p AS partition, id AS member FROM range(0, 12) t(p), m WHERE p % n = r""")
 def group_assign_single_stream(spark, sf_dir):
-    return _dealt(spark, table(spark, sf_dir, "supplier").where("s_suppkey <= 5"))
+    return _dealt(spark, table(spark, sf_dir, "supplier"))
 
 
 def _dealt(spark: SparkSession, suppliers: DataFrame) -> DataFrame:
@@ -346,7 +343,7 @@ def _dealt(spark: SparkSession, suppliers: DataFrame) -> DataFrame:
     return commit.assign_partitions(members, spark.createDataFrame([("foo", 12)], "stream string, partitions long")).drop("stream")
 
 
-@query("group_assign_all_members", ORACLE_SQL["group_assign_single_stream"].replace(" WHERE s_suppkey <= 5", ""))
+@query("group_assign_all_members", ORACLE_SQL["group_assign_single_stream"])
 def group_assign_all_members(spark, sf_dir):
     return _dealt(spark, table(spark, sf_dir, "supplier"))
 
@@ -399,9 +396,9 @@ def metadata_unknown_streams(spark, sf_dir):
 @query("fanout_subject_wildcard", """WITH s AS (SELECT event_id, 'events.' || event_type || '.' || user_id AS subject FROM events)
 SELECT stream, event_id, subject FROM s, (VALUES ('all', '^events\\..+$'), ('clicks', '^events\\.click\\.[^.]+$'), ('user7', '^events\\.[^.]+\\.7$')) v(stream, p) WHERE regexp_matches(subject, p)""")
 def fanout_subject_wildcard(spark, sf_dir):
-    bound = F.broadcast(spark.createDataFrame([("all", "events.>"), ("clicks", "events.click.*"), ("user7", "events.*.7")], "stream string, pattern string"))
+    bound = spark.createDataFrame([("all", "events.>"), ("clicks", "events.click.*"), ("user7", "events.*.7")], "stream string, pattern string")
     sent = raw_events(spark, sf_dir).select("event_id", F.concat_ws(".", F.lit("events"), "event_type", F.col("user_id").cast("string")).alias("subject"))
-    return sent.join(bound, scalar.subject_matches(F.col("subject"), F.col("pattern"))).select("stream", "event_id", "subject")
+    return publish.fan_out(sent, bound).select("stream", "event_id", "subject")
 
 
 @query("publish_preconditions", """SELECT o_orderkey, CASE WHEN name IN ('__activity', '__cursors') THEN 'RESERVED' WHEN name = 'missing' THEN 'NOT_FOUND' WHEN o_totalprice > 200000 THEN 'TOO_LARGE'
@@ -430,7 +427,7 @@ def acl_filter(spark, sf_dir):
     return asked.join(policy, ["sub", "obj", "act"], "left_semi").select("event_id")
 
 
-@query("occ_accept", LOG.replace("WITH log", "WITH RECURSIVE log") + """, a AS (SELECT partition, "offset" AS n, CASE WHEN "offset" % 3 = 0 THEN -1 ELSE CAST(floor("offset" / 2) AS BIGINT) END AS expected FROM log WHERE "offset" < 500),
+@query("occ_accept", LOG.replace("WITH log", "WITH RECURSIVE log") + """, a AS (SELECT partition, "offset" AS n, CASE WHEN "offset" % 3 = 0 THEN -1 ELSE CAST(floor("offset" / 2) AS BIGINT) END AS expected FROM log),
 f AS (
   SELECT partition, n, TRUE AS accepted, 0::BIGINT AS got, 1::BIGINT AS next FROM a WHERE n = 0
   UNION ALL
@@ -438,7 +435,7 @@ f AS (
   FROM f JOIN a ON a.partition = f.partition AND a.n = f.n + 1
 ) SELECT partition, n, accepted, got AS "offset" FROM f""")
 def occ_accept(spark, sf_dir):
-    return _tried(events_log(spark, sf_dir).where("offset < 500"))
+    return _tried(events_log(spark, sf_dir))
 
 
 def _tried(log: DataFrame) -> DataFrame:
@@ -446,15 +443,14 @@ def _tried(log: DataFrame) -> DataFrame:
     return seq.accept_expected(log.withColumn("n", F.col("offset")).withColumn("expected", expected), ["partition"], "n")
 
 
-@query("occ_accept_all", ORACLE_SQL["occ_accept"].replace(' WHERE "offset" < 500', ""))
+@query("occ_accept_all", ORACLE_SQL["occ_accept"])
 def occ_accept_all(spark, sf_dir):
     return _tried(events_log(spark, sf_dir))
 
 
 @query("auto_pause_gaps", LOG + """SELECT partition, "offset", ts_us - before AS idle_us FROM (SELECT *, lag(ts_us) OVER (PARTITION BY partition ORDER BY "offset") AS before FROM log) WHERE ts_us - before > 3600000000""")
 def auto_pause_gaps(spark, sf_dir):
-    before = F.lag("ts_us").over(Window.partitionBy("partition").orderBy("offset"))
-    return events_log(spark, sf_dir).withColumn("idle_us", F.col("ts_us") - before).where("idle_us > 3600000000").select("partition", "offset", "idle_us")
+    return scan.idle_gaps(events_log(spark, sf_dir), 3_600_000_000).select("partition", "offset", "idle_us")
 
 
 @query("consumer_expiry_sessions", """WITH g AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id FROM events),
@@ -556,8 +552,7 @@ def encrypt_roundtrip(spark, sf_dir):
 def stream_sequence_available_now(spark, sf_dir):
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
     raw = source.select(F.pmod("user_id", F.lit(4)).cast("int").alias("partition"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparklog-')}"
-    return drain_sequenced(raw, root).select("partition", "offset", "event_id")
+    return drain_sequenced(raw, scratch.root(spark)).select("partition", "offset", "event_id")
 
 
 @query("union_streams", LOG + """SELECT stream, partition, "offset", key FROM log UNION ALL

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pytest
 from compare import assert_same
-from sparklog import queries
+from sparklog import queries, queries_service
 
 SF = "/root/testdata/sf0.001"
+assert queries_service
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
