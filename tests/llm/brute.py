@@ -214,3 +214,22 @@ def quality_verdicts(rows, prior=100, reach=6):
             kept &= known[at][0] <= x <= known[at][1]
         out.append(kept)
     return out
+
+
+def tree_place(key_hash, topology):
+    """The shard of a key by descending region, rack and shard; key_hash(node) is the 64-bit hash of key and node."""
+    from math import log
+
+    def draw(children):
+        best = None
+        for node, weight, value in children:
+            u = ((key_hash(node) % 2**64 >> 11) + 0.5) / 2.0**53
+            best = min(x for x in (best, (-log(u) / weight, value)) if x is not None)
+        return best[1]
+
+    live = sorted((x for x in topology if x.weight > 0), key=lambda x: x.shard)
+    sums = lambda level: [(n, sum(x.weight for x in live if level(x) == n), n) for n in dict.fromkeys(map(level, live))]
+    region = draw(sums(lambda x: x.region))
+    live = [x for x in live if x.region == region]
+    rack = draw(sums(lambda x: x.rack))
+    return draw([(f"{rack}/s{x.shard}", x.weight, x.shard) for x in live if x.rack == rack])
