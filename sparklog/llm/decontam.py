@@ -39,6 +39,9 @@ RADIUS = 15
 BLOCKS = 4
 #: Shingles of the benchmark up to which its tables are broadcast; larger ones are shuffled.
 BROADCAST_SHINGLES = 500_000
+#: Documents with windows to look at up to which their ids and hashes are broadcast, to pick their
+#: texts where they lie; more of them meet all texts by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -108,6 +111,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     )
     places = materialize(_places(spread.join(near(entries), "g")), "places")
 
+    if places.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(places.select("id", "th"))
+        source = source.join(keys, same_row(source, keys, ["id", "th"]), "left_semi")
     held = source.join(places, same_row(source, places, ["id", "th"])).select(source["id"], source["th"], "t", "places")
     held = held.groupBy("id", "th").agg(F.first("t").alias("t"), F.first("places").alias("places"))
     cut = (
