@@ -40,6 +40,8 @@ from sparklog.llm.wordhash import INVERSE, mix, powers, rolled, slices, word_has
 GRAM = 8
 #: Words of a reference shard, on average, and of one key in it at most.
 SHARD_WORDS, KEY_WORDS = 20_000, 40_000
+#: A minimizer of more than one segment in so many is hot; fewer minimizers than this can be.
+HOT_SHARE = 1000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -265,9 +267,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     id_type = source.schema["id"].dataType.simpleString()
     segs = materialize(source.mapInArrow(_read(run), f"id {id_type}, th long, m long, s long, a int, b int, twice boolean"), "segments")
     counted = segs.groupBy("m").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    shared = counted.where("n > 1 or twice").select("m", F.expr("n > 1 and lo = hi").alias("chain"))
-    places = materialize(segs.join(shared, "m").drop("twice"), "places")
-    discard(segs)
+    shared = materialize(counted.where("n > 1 or twice").select("m", "n", F.expr("n > 1 and lo = hi").alias("chain")), "shared")
+    places = materialize(_places(segs, shared), "places")
+    discard(segs, shared)
     contents = places.where("not chain").groupBy("m", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a", "b")).alias("lender"))
     lent = contents.select("lender.id", "lender.th", F.struct("lender.a", "lender.b", "m", "s", "n").alias("x"))
     lent = materialize(lent.groupBy("id", "th").agg(F.collect_list("x").alias("lent")), "lent")
@@ -283,6 +285,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     return done.withColumnRenamed("id", key)
 
 
+def _places(segs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The segments of the shared minimizers, with chain.
+
+    Hot minimizers are broadcast, fewer than HOT_SHARE whatever the input, so that the segments of
+    one don't meet in one task; the others meet theirs by a shuffle.
+    """
+    least = segs.count() // HOT_SHARE
+    hot = shared.where(F.col("n") > least).select("m", F.col("chain").alias("hot"))
+    rest = shared.where(F.col("n") <= least).select("m", "chain")
+    marked = segs.drop("twice").join(F.broadcast(hot), "m", "left")
+    found = marked.where("hot is not null").withColumnRenamed("hot", "chain")
+    return found.unionByName(marked.where("hot is null").drop("hot").join(rest, "m"))
+
+
 def _hits(references: DataFrame, run: int, least: int = 1) -> DataFrame:
     """(key, t, hits): the repeated windows of each content, from its shard's automaton."""
     sizes = references.groupBy("key").agg(F.sum(F.size("words")).alias("size"))
